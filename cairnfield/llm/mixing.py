@@ -1,20 +1,21 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
 Each document of a source expects ``target / source size`` copies.  Documents
-stand in order of size; the prefix sum of expected copies, moved by one random
-offset per source, crosses some whole numbers at each document, and that many
-copies are emitted.  As sizes rise along the order, the words taken stay within
-about one document of the target.
+stand in the order of a hash of their id; the prefix sum of expected copies,
+moved by one random offset per source, crosses some whole numbers at each
+document, and that many copies are emitted.  The offset is the one of
+``DRAWS`` random ones whose words come nearest to the target, which matters for
+sources with few or very unequal documents.
 
 The prefix sum is made in two levels so that a hot source is never one task:
-documents are dealt into blocks (source, size bucket, hash of the id), the few
-block counts are summed up along the order, and rows are numbered in their
-block.  Sums are fixed-point whole numbers, so no document can cross more
-boundaries than its expected copies, rounded up, and reruns agree.
+documents are dealt into 4096 blocks of the hash, the block counts are summed up
+along the order, and rows are numbered in their block.  Sums are fixed-point
+whole numbers, so no document crosses more boundaries than its expected copies,
+rounded up, and reruns agree.
 
 Cases: a null or empty text has size 0; a null source is a source of its own,
 last in order; a source of size 0 has target 0 and no copies; rows that agree in
-source, size and id are told apart by a hash of the text, and equal rows are
+id are told apart by size and a hash of the text, and equal rows are
 interchangeable; other columns stay; an empty table gives an empty result.
 """
 
@@ -29,18 +30,13 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 ONE = 1 << 40
 SEED = "mix-1"
+DRAWS = 32
 
 
 def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def block_of(size: Column) -> Column:
-    """Log-linear bucket of a size: exact below 64, then 32 for each doubling."""
-    shift = F.greatest(F.length(F.bin(size)) - 6, F.lit(0))
-    return F.call_function("shiftright", size, shift) + 32 * shift
-
-
 def targets(sized: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
     """``(source, source_size, weight, target)``: the total shared by weight, none above MAX_COPIES times its size.
 
@@ -61,40 +57,73 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size") -> Dat
     return s.select("source", "source_size", "weight", F.least(full.cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def offset(source: Column, seed: str = SEED) -> Column:
-    """A number below ONE that depends on the source and the seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("="), source), F.lit("")))), 1, 10), 16, 10).cast("long")
+def _key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+
+
+def offset(key: Column, draw: int, seed: str) -> Column:
+    """A number below ONE that depends on the source, the draw and the seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{draw}:"), key)), 1, 10), 16, 10).cast("long")
+
+
+def ranked(sized: DataFrame, doc_id: str, source: str, size: str, tie: Column | None) -> DataFrame:
+    """Add the block ``(_key, _block)`` of each row and its number ``_i`` in it."""
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    d = sized.withColumns({"_key": _key(source), "_hash": digest, "_block": F.substring(digest, 1, 3)})
+    order = ["_hash", F.col(doc_id), F.col(size)] + ([tie] if tie is not None else [])
+    return d.withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_block").orderBy(*order))).drop("_hash")
+
 
+def crossings(i: str, rate: str) -> tuple[Column, Column]:
+    """Whole part and rest of ``i * rate / ONE``; decimals, as the product can pass a long."""
+    product = f"cast({i} as decimal(20,0)) * cast({rate} as decimal(18,0))"
+    whole = F.expr(f"({product}) div cast({ONE} as decimal(20,0))")
+    return whole, F.expr(f"cast(({product}) % cast({ONE} as decimal(20,0)) as bigint)")
 
-def with_copies(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows with a size."""
-    at = ["_key", "_bucket", "_salt"]
-    d = sized.withColumns({
-        "_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
-        "_bucket": block_of(F.col(size)),
-        "_salt": F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 2),
-    })
-    counts = d.groupBy(*at).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_bucket", "_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = targets(sized, source, size)
+
+def with_steps(d: DataFrame, plan: DataFrame) -> DataFrame:
+    """Join the plan and add whole parts and rests before (``_w0``, ``_r0``) and after each row."""
+    d = d.join(plan, ["_key", "_block"])
+    w0, r0 = crossings("_before + _i - 1", "_rate")
+    w1, r1 = crossings("_before + _i", "_rate")
+    return d.withColumns({"_w0": w0, "_r0": r0, "_w1": w1, "_r1": r1})
+
+
+def copies(shift: Column) -> Column:
+    up = lambda rest: (F.col(rest) + shift >= ONE).cast("long")
+    return F.col("_w1") - F.col("_w0") + up("_r1") - up("_r0")
+
+
+def with_copies(sized: DataFrame, narrow: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to rows with a size.
+
+    ``narrow`` may give the same rows without their texts, to plan from.
+    """
+    rows = ranked(sized, doc_id, source, size, tie)
+    small = rows if narrow is None else ranked(narrow, doc_id, source, size, tie)
+    t = targets(sized if narrow is None else narrow, source, size)
     t = t.select(
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), "source_size", "target",
+        _key("source").alias("_key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long").alias("_rate"),
-        offset(F.col("source"), seed).alias("_offset"),
     )
-    blocks = cut(counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n").join(t, "_key"), "blocks")
-    order = [F.col(size), F.col(doc_id)] + ([tie] if tie is not None else [])
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*at).orderBy(*order))).join(blocks, at)
-    crossed = lambda i: f"((cast({i} as decimal(20,0)) * cast(_rate as decimal(18,0)) + _offset) div cast({ONE} as decimal(20,0)))"
-    d = d.withColumn("copies", F.expr(f"{crossed('_before + _i')} - {crossed('_before + _i - 1')}"))
-    return d.drop(*at, "_i", "_before", "_rate", "_offset")
+    run = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = small.groupBy("_key", "_block").agg(F.count("*").alias("_n"))
+    plan = cut(counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).drop("_n").join(t, "_key"), "plan")
+    tries = F.array(*(offset(F.col("_key"), k, seed) for k in range(DRAWS)))
+    sums = with_steps(small, plan).groupBy("_key", "target").agg(*(F.sum(F.col(size) * copies(offset(F.col("_key"), k, seed))).alias(f"_s{k}") for k in range(DRAWS)))
+    gaps = F.array(*(F.struct(F.abs(F.col(f"_s{k}") - F.col("target")).alias("gap"), F.lit(k).alias("draw")) for k in range(DRAWS)))
+    chosen = sums.select("_key", F.element_at(tries, F.array_min(gaps)["draw"] + 1).alias("_offset"))
+    plan = cut(plan.join(chosen, "_key"), "plan")
+    d = with_steps(rows, plan).withColumn("copies", copies(F.col("_offset")))
+    return d.drop("_key", "_block", "_i", "_before", "_rate", "_offset", "_w0", "_r0", "_w1", "_r1")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixture itself: every document once per copy, with ``copy`` counting from 0."""
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "copy") if c in docs.columns))
-    sized = docs.withColumn("size", size_of(text))
-    d = with_copies(sized, doc_id, source, tie=F.xxhash64(text), seed=seed).where("copies > 0")
+    docs = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "copy", "tie") if c in docs.columns))
+    docs = docs.withColumns({"size": size_of(text), "tie": F.xxhash64(text)})
+    narrow = cut(docs.select(doc_id, source, "size", "tie"), "sizes")
+    d = with_copies(docs, narrow, doc_id, source, tie=F.col("tie"), seed=seed).where("copies > 0").drop("tie")
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 

@@ -36,7 +36,7 @@ MIN_WORDS = 50
 #: Pseudo-documents by which a group's fences are drawn towards the wider group's.
 PRIOR = 50
 #: Fences never come nearer to the quartiles than this, in thousandths.
-SLACK = {"symbol": 50, "dup": 250, "repeat": 200, "length": 1500}
+SLACK = {"symbol": 50, "dup": 400, "repeat": 350, "length": 1500}
 SPREADS = 3
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
