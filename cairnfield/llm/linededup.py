@@ -1,10 +1,11 @@
 """Fuzzy line dedup in DataFrame functions only.
 
-Lines are lower-cased and their words joined by one space.  Equal normalised
-lines are one from the start; a 64-bit SimHash of its words is taken of each by
-summing the bits of all word hashes.  The partial sums run before the shuffle,
-so a line that repeats a billion times is one row per task, and as repeats scale
-all 64 sums alike, they leave the majority of each bit as it is.
+Lines are lower-cased and cut into words at ASCII characters that are neither
+letter nor digit.  Equal normalised lines are one from the start.  A 64-bit
+SimHash is taken of each line's pairs of neighbouring words, with its ends as
+words, by summing the bits of all pair hashes.  The partial sums run before the
+shuffle, so a line that repeats a billion times is one row per task, and as
+repeats scale all 64 sums alike, they leave the majority of each bit as it is.
 
 Fingerprints at most 3 bits apart agree in one of four 16-bit blocks, so they
 meet in an equi-join on (block, bits); the Hamming distance is checked inside
@@ -26,19 +27,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, popcount
+from .common import WORD, components, cut, popcount
 
 RADIUS = 3
 SIMILARITY = 0.8
 BLOCKS = 4
 #: Words of 64 bits in the filter of linked lines: 512 KB whatever the input.
 FILTER_WORDS = 1 << 16
-SPACES = r"[\x20\x09-\x0D]+"
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_in(line: Column) -> Column:
-    """Lower-cased words of a line."""
-    return F.filter(F.split(F.lower(line), SPACES), lambda w: w != "")
+    """Lower-cased words of a line; splitting leaves empty strings at its ends only."""
+    return F.filter(F.split(F.lower(line), GAPS), lambda w: w != "")
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -54,7 +55,8 @@ def doc_key(doc_id: str, text: str) -> Column:
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """``(h, fp)`` for each distinct line."""
-    w = lines.select("h", F.explode("words").alias("w")).select("h", F.xxhash64("w").alias("x"))
+    edge = F.array(F.lit(""))
+    w = lines.select("h", F.inline(F.arrays_zip(F.concat(edge, "words").alias("u"), F.concat("words", edge).alias("v")))).select("h", F.xxhash64("u", "v").alias("x"))
     sums = w.groupBy("h").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(1))).alias(f"b{j}") for j in range(64)))
     fp = F.lit(0).cast("long")
     for j in range(64):
@@ -64,20 +66,13 @@ def simhashes(lines: DataFrame) -> DataFrame:
 
 
 def candidate_links(prints: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of lines whose fingerprints are at most RADIUS bits apart.
-
-    Lines with one fingerprint are chained through the smallest of them, and only
-    distinct fingerprints are joined, so a group of any size adds as many links as it has lines.
-    """
-    heads = cut(prints.groupBy("fp").agg(F.min("h").alias("head")), "heads")
-    same = prints.join(heads, "fp").where("h <> head").select(F.col("head").alias("a"), F.col("h").alias("b"))
+    """Pairs ``a < b`` of lines whose fingerprints are at most RADIUS bits apart."""
     width = 64 // BLOCKS
     keys = F.array(*(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(k << width) for k in range(BLOCKS)))
-    keyed = heads.select("fp", "head", F.explode(keys).alias("cell"))
+    keyed = prints.select("h", "fp", F.explode(keys).alias("cell"))
     l, r = keyed.alias("l"), keyed.alias("r")
-    met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & (popcount(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS))
-    near = met.select(F.least("l.head", "r.head").alias("a"), F.greatest("l.head", "r.head").alias("b")).distinct()
-    return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near)
+    met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (popcount(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS))
+    return met.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
 
 
 def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -87,9 +82,10 @@ def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     few other lines through to the join.
     """
     slot, bit = F.pmod(F.col("h"), F.lit(FILTER_WORDS)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(63)).cast("int")
-    words = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    table = words.agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("m"))
-    array = table.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0).cast("long"))).alias("a"))
+    bits = wanted.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    none = wanted.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    words = bits.unionByName(none).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    array = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda w: w["bits"]).alias("a"))
     held = cut(array, "filter").scalar()
     passed = lines.where(F.call_function("shiftright", F.element_at(held, slot.cast("int") + 1), bit).bitwiseAND(F.lit(1)) == 1)
     return passed.groupBy("h", F.array_join("words", " ").alias("text")).agg(F.lit(1)).select("h", "text").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
@@ -101,4 +97,53 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     longer = F.greatest(F.length("x"), F.length("y"))
     most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
     pairs = links.join(x, "a").join(y, "b").where(F.greatest(F.length("x"), F.length("y")) - F.least(F.length("x"), F.length("y")) <= most)
-    return pairs.withColumn("most", most).where(F.expr("levenshtein(x, y) <= most")).select("a", "b")
+    return pairs.withColumn("most", most).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, doc, gone)``: for each document with repeats the positions of the lines to cut."""
+    lines = lines_of(docs, doc_id, text)
+    at = cut(lines.select("doc_id", "doc", "line_no", "h"), "lines")
+    prints = cut(simhashes(lines), "prints")
+    links = cut(candidate_links(prints), "links")
+    wanted = links.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    groups = components(verified(links, cut(texts_of(wanted, lines), "texts"), similarity))
+    # the first occurrence and number of each line, then of each group: hot lines are one row per task before the shuffle
+    each = at.groupBy("h").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
+    each = each.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n")
+    each = cut(each, "each")
+    whole = each.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
+    again = cut(each.join(whole.select("root", "kept"), "root").select("h", "kept"), "again")
+    here = F.struct("doc_id", "doc", "line_no")
+    gone = at.join(again, "h").where(~here.eqNullSafe(F.col("kept")))
+    return gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("gone"))
+
+
+def with_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with ``_gone``, the positions of lines to cut, or null."""
+    found = cut(repeats(docs, doc_id, text, similarity).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "gone")
+    met = docs.withColumn("_key", doc_key(doc_id, text)).join(found, (F.col("_key") == F.col("_doc")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    return met.drop("_id", "_doc", "_key")
+
+
+def left_over(text: str, gone: str) -> Column:
+    """The text without the lines at the given positions."""
+    cut_at = F.map_from_arrays(F.col(gone), F.transform(gone, lambda i: F.lit(True)))
+    rest = F.filter(F.split(text, "\n"), lambda line, i: cut_at[i].isNull())
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with repeats cut from ``text``, and ``n_lines`` before and ``n_removed``."""
+    docs = docs.drop(*(c for c in ("n_lines", "n_removed", "_gone", "_key", "_doc", "_id") if c in docs.columns))
+    met = with_repeats(docs, doc_id, text, similarity)
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    return met.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text: left_over(text, "_gone")}).drop("_gone")
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with repeats cut; documents that lose their last word by it go, all others stay."""
+    out = dedup(docs, doc_id, text).where((F.col("n_removed") == 0) | F.col(text).rlike(WORD))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.select(*docs.columns)

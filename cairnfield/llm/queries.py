@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltree, mixing, pii, quality, simhash, urlfilter, warc
+from . import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -45,10 +45,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_urlfilter, op4_htmltree, op5_decontaminate, op6_mixing, op7_warc, op8_simhash, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_urlfilter, op4_htmltree, op5_decontaminate, op6_mixing, op7_warc, op8_simhash, op9_linededup, op10_chat)}
 
 ORACLES: dict[str, str] = {}
