@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, urlfilter, warc
+from . import chat, decontaminate, htmltree, linededup, mixing, oracles, pii, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -55,4 +55,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_urlfilter, op4_htmltree, op5_decontaminate, op6_mixing, op7_warc, op8_simhash, op9_linededup, op10_chat)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
