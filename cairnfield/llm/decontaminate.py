@@ -29,10 +29,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -179,10 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -198,12 +198,10 @@ def _flag(held, threshold: float):
     kept: dict[str, Index] = {}
 
     @F.pandas_udf("boolean")
-    def flag(texts):
+    def flag(texts: pd.Series) -> pd.Series:
         if "index" not in kept:
             kept["index"] = Index(held.value, threshold)
         index = kept["index"]
-        import pandas as pd
-
         return pd.Series([next(index.find(t), None) is not None for t in texts], dtype=bool)
 
     return flag
