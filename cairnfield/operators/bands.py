@@ -16,9 +16,9 @@ def lowest_edge(px: DataFrame, mask: str, res: int, dem: str = "dem") -> Column:
     return px.agg((low - F.pmod(low, F.lit(res))).alias("edge")).scalar()
 
 
-def with_band(px: DataFrame, mask: str, res: int, name: str = "band", dem: str = "dem") -> DataFrame:
-    """Add the band number from the lowest edge, null outside the mask."""
-    edge = lowest_edge(px, mask, res, dem)
+def with_band(px: DataFrame, mask: str, res: int, name: str = "band", dem: str = "dem", edge: Column | int | None = None) -> DataFrame:
+    """Add the band number from the lowest edge, null outside the mask; a known edge saves an aggregate."""
+    edge = lowest_edge(px, mask, res, dem) if edge is None else edge
     return px.withColumn(name, F.when(F.col(mask), F.floor((F.col(dem) - edge) / res).cast("int")))
 
 
@@ -70,6 +70,14 @@ def band_stats(banded: DataFrame, percentiles: Sequence[int], band: str = "band"
     )
 
 
+def snowline_of(rows: list, edge: int, threshold: float, res: int, mean: str = "mean_d2") -> int:
+    """The same from collected band rows."""
+    for place, r in enumerate(sorted(rows, key=lambda r: r["band"])):
+        if r[mean] > threshold:
+            return edge + place * res
+    raise ValueError("no elevation band is deeper than the snowline threshold")
+
+
 def snowline(stats: DataFrame, edge: Column, threshold: float, res: int, mean: str = "mean_d2") -> DataFrame:
     """One row: the elevation of the lowest band whose mean depth exceeds the threshold.
 

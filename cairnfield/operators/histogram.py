@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from ..schema import column_of
 
 
-def bin_of(v: Column, low: Column, high: Column, n: int) -> Column:
+def bin_of(v: Column, low: Column | float, high: Column | float, n: int) -> Column:
     """Equal-width bin of the data's range, the last one closed."""
+    low, high = (x if isinstance(x, Column) else F.lit(x).cast("double") for x in (low, high))
     wide = F.when(high > low, F.floor((v - low) / (high - low) * n)).otherwise(F.lit(n // 2))
     return F.least(wide, F.lit(n - 1)).cast("int")
 
 
-def with_bins(px: DataFrame, mask: str, names: Sequence[str], num_bins: Sequence[int]) -> DataFrame:
-    """Add ``bx`` and ``by``, null outside the mask; the range is one scalar aggregate."""
+def with_bins(px: DataFrame, mask: str, names: Sequence[str], num_bins: Sequence[int], spans: Sequence[tuple] | None = None) -> DataFrame:
+    """Add ``bx`` and ``by``, null outside the mask; known spans save scalar aggregates."""
     cols = [F.col(column_of(n)).cast("double") for n in names]
-    inside = px.where(F.col(mask))
+    if spans is None:
+        inside = px.where(F.col(mask))
+        spans = [(inside.agg(F.min(c)).scalar(), inside.agg(F.max(c)).scalar()) for c in cols]
     out = {}
-    for name, c, n in zip(("bx", "by"), cols, num_bins):
-        low, high = inside.agg(F.min(c)).scalar(), inside.agg(F.max(c)).scalar()
+    for name, c, n, (low, high) in zip(("bx", "by"), cols, num_bins, spans):
         out[name] = F.when(F.col(mask), bin_of(c, low, high, n))
     return px.withColumns(out)
 

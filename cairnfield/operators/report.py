@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bands
 
 
-def stats_report(px: DataFrame, flags: Sequence[str], res: int) -> DataFrame:
+def stats_report(px: DataFrame, flags: Sequence[str], res: int, edge: int | None = None) -> DataFrame:
     """``(flag, cell_count, pct_coverage, delta_pct)`` for each flag column.
 
     ``delta_pct`` is how much the summed difference changes, over pixels with snow,
@@ -18,7 +18,7 @@ def stats_report(px: DataFrame, flags: Sequence[str], res: int) -> DataFrame:
     aggregate by band and one over all bands serve all flags: the adjusted sum of
     a band is its unflagged sum plus the number of flagged pixels times that median.
     """
-    banded = bands.with_band(px, "sp", res, "band_sp")
+    banded = bands.with_band(px, "sp", res, "band_sp", edge=edge)
     per_flag = []
     for f in flags:
         per_flag += [

@@ -80,7 +80,7 @@ hist AS (SELECT bx, by_ AS by, COUNT(*) AS cnt FROM pb WHERE conditional GROUP B
 share AS (SELECT p.bx, p.by, ANY_VALUE(p.cnt) AS cnt, COUNT(*) AS occupied,
   (LEAST(p.bx + 1, 59) - GREATEST(p.bx - 1, 0) + 1) * (LEAST(p.by + 1, 199) - GREATEST(p.by - 1, 0) + 1) AS cells
   FROM hist p JOIN hist q ON q.bx BETWEEN p.bx - 1 AND p.bx + 1 AND q.by BETWEEN p.by - 1 AND p.by + 1 GROUP BY p.bx, p.by),
-outl AS (SELECT bx, by, cnt FROM share WHERE CAST(occupied AS DOUBLE) / cells < 0.45),
+outl AS (SELECT * EXCLUDE (occupied, cells) FROM share WHERE CAST(occupied AS DOUBLE) / cells < 0.45),
 f AS (SELECT hn.*, (o2.bx IS NOT NULL) AS flag_histogram, zero_and_nan AS flag_zero_and_nan,
   (inside AND nbl > 5 AND all_loss) AS flag_basin_loss, (inside AND nbg > 5 AND all_gain) AS flag_basin_gain,
   (inside AND nel > 5 AND el AND NOT dem < snowline) AS flag_elevation_loss, (inside AND neg > 5 AND eg) AS flag_elevation_gain
@@ -152,9 +152,9 @@ def _paths(spark, sf_dir):
 
 @query("filename_metadata", """
 WITH p AS (SELECT o_orderkey, '/data/survey/' || LOWER(SUBSTR(o_orderpriority, 3, 4)) || 'basin' || STRFTIME(o_orderdate, '%Y%m%d') || '_depth_50m.tif' AS path FROM orders)
-SELECT o_orderkey, REGEXP_EXTRACT(path, '([^/_]*)([0-9]{8})_[^/]*$', 1) AS basin, CAST(STRPTIME(REGEXP_EXTRACT(path, '([^/_]*)([0-9]{8})_[^/]*$', 2), '%Y%m%d') AS DATE) AS acq_date FROM p""")
+SELECT o_orderkey, REGEXP_EXTRACT(path, '([^/_]*)([0-9]{8})_[^/]*$', 1) AS basin, STRFTIME(STRPTIME(REGEXP_EXTRACT(path, '([^/_]*)([0-9]{8})_[^/]*$', 2), '%Y%m%d'), '%Y-%m-%d') AS acq_date FROM p""")
 def filename_metadata(spark, sf_dir):
-    return _paths(spark, sf_dir).select("o_orderkey", filenames.basin_of(F.col("path")).alias("basin"), filenames.date_of(F.col("path")).alias("acq_date"))
+    return _paths(spark, sf_dir).select("o_orderkey", filenames.basin_of(F.col("path")).alias("basin"), filenames.date_of(F.col("path")).cast("string").alias("acq_date"))
 
 
 HEADERS_SQL = """
@@ -333,7 +333,7 @@ def pixel_bins(spark, sf_dir):
     return cells(_binned(spark, sf_dir), "bx", "by")
 
 
-@query("neighbor_fraction_truncated", "SELECT bx, by, cnt, occupied, CAST(cells AS INT) AS cells, ROUND(CAST(occupied AS DOUBLE) / cells, 4) AS pct FROM share")
+@query("neighbor_fraction_truncated", "SELECT share.bx, share.by, cnt, occupied, CAST(cells AS INT) AS cells, ROUND(CAST(occupied AS DOUBLE) / cells, 4) AS pct FROM share")
 def neighbor_fraction_truncated(spark, sf_dir):
     return histogram.occupied_share(histogram.histogram(_binned(spark, sf_dir)), CFG.num_bins, 3).withColumn("pct", F.round("pct", 4))
 
