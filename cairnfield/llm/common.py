@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, own: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``f`` while all columns but ``own`` have names that clash with none; names with ``__cf`` are reserved."""
+    names = {c: f"__cf_kept_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return f(docs.withColumnsRenamed(names)).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def popcount(c: Column) -> Column:
     return F.bit_count(c)
 

@@ -307,5 +307,5 @@ def extract(pages: DataFrame, page: str = "html", pages_to_train: int = TRAINING
         out = [model.main_text(x) for x in found]
         return pd.DataFrame({"text": out, "n_chars": [len(t) for t in out]})
 
-    pages = pages.drop(*(c for c in ("text", "n_chars", "_t") if c in pages.columns and c != page))
-    return pages.withColumn("_t", main_text(F.col(page))).select("*", "_t.*").drop("_t")
+    pages = pages.drop(*(c for c in ("text", "n_chars", "__cf_t") if c in pages.columns and c != page))
+    return pages.withColumn("__cf_t", main_text(F.col(page))).select("*", "__cf_t.*").drop("__cf_t")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, popcount
+from .common import WORD, components, cut, popcount, shielded
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -163,31 +163,42 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     return gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("gone"))
 
 
+def flags_of(positions: Column) -> Column:
+    """For each position up to the last of ``positions`` whether it is one of them."""
+    others = F.array_except(F.sequence(F.lit(0), F.array_max(positions)), positions)
+    marked = F.concat(F.transform(others, lambda i: F.struct(i.alias("i"), F.lit(False).alias("gone"))), F.transform(positions, lambda i: F.struct(i.alias("i"), F.lit(True).alias("gone"))))
+    return F.transform(F.sort_array(marked), lambda m: m["gone"])
+
+
 def with_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with ``_gone``, the positions of lines to cut, or null."""
-    found = cut(repeats(docs, doc_id, text, similarity).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "gone")
-    met = docs.withColumn("_key", doc_key(doc_id, text)).join(found, (F.col("_key") == F.col("_doc")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    return met.drop("_id", "_doc", "_key")
+    """``docs`` with ``__cf_gone``, whether each line is to be cut, and their number, or nulls."""
+    found = repeats(docs, doc_id, text, similarity)
+    found = cut(found.select(F.col("doc_id").alias("__cf_id"), F.col("doc").alias("__cf_doc"), F.size("gone").alias("__cf_n"), flags_of(F.col("gone")).alias("__cf_gone")), "gone")
+    met = docs.withColumn("__cf_key", doc_key(doc_id, text)).join(found, (F.col("__cf_key") == F.col("__cf_doc")) & F.col(doc_id).eqNullSafe(F.col("__cf_id")), "left")
+    return met.drop("__cf_id", "__cf_doc", "__cf_key")
 
 
 def left_over(text: str, gone: str) -> Column:
-    """The text without the lines at the given positions."""
-    cut_at = F.map_from_arrays(F.col(gone), F.transform(gone, lambda i: F.lit(True)))
-    rest = F.filter(F.split(text, "\n"), lambda line, i: cut_at[i].isNull())
+    """The text without the lines that are marked."""
+    rest = F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False)))
     return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeats cut from ``text``, and ``n_lines`` before and ``n_removed``."""
-    docs = docs.drop(*(c for c in ("n_lines", "n_removed", "_gone", "_key", "_doc", "_id") if c in docs.columns))
+    docs = docs.drop(*(c for c in ("n_lines", "n_removed") if c in docs.columns))
     met = with_repeats(docs, doc_id, text, similarity)
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    return met.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text: left_over(text, "_gone")}).drop("_gone")
+    return met.withColumns({"n_lines": n, "n_removed": F.coalesce("__cf_n", F.lit(0)).cast("long"), text: left_over(text, "__cf_gone")}).drop("__cf_gone", "__cf_n")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with repeats cut; documents that lose their last word by it go, all others stay."""
-    out = dedup(docs, doc_id, text).where((F.col("n_removed") == 0) | F.col(text).rlike(WORD))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+
+    def rest(d: DataFrame) -> DataFrame:
+        out = dedup(d, doc_id, text).where((F.col("n_removed") == 0) | F.col(text).rlike(WORD))
+        if n_chars in d.columns:
+            out = out.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text).cast(d.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+        return out.select(*d.columns)
+
+    return shielded(docs, (doc_id, text, n_chars), rest)

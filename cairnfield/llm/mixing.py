@@ -16,7 +16,8 @@ rounded up, and reruns agree.
 Cases: a null or empty text has size 0; a null source is a source of its own,
 last in order; a source of size 0 has target 0 and no copies; rows that agree in
 id are told apart by size and a hash of the text, and equal rows are
-interchangeable; other columns stay; an empty table gives an empty result.
+interchangeable; other columns stay, but those with the name of a result column
+are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size") -> Dat
     run, every = Window.orderBy("room", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
     s = s.withColumn("left", F.sum("source_size").over(every) - F.sum(full).over(run) + full)
     s = s.withColumn("share", F.col("left") / (F.sum("weight").over(every) - F.sum("weight").over(run) + F.col("weight")))
-    s = s.withColumn("level", F.min(F.when(F.col("share") <= F.col("room"), F.struct("room", "share"))).over(every)["share"])
+    s = s.withColumn("level", -F.min(F.when(F.col("share") <= F.col("room"), F.struct("room", (-F.col("share")).alias("s")))).over(every)["s"])
     return s.select("source", "source_size", "weight", F.least(full.cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -67,11 +68,11 @@ def offset(key: Column, draw: int, seed: str) -> Column:
 
 
 def ranked(sized: DataFrame, doc_id: str, source: str, size: str, tie: Column | None) -> DataFrame:
-    """Add the block ``(_key, _block)`` of each row and its number ``_i`` in it."""
+    """Add the block ``(__cf_key, __cf_block)`` of each row and its number ``__cf_i`` in it."""
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    d = sized.withColumns({"_key": _key(source), "_hash": digest, "_block": F.substring(digest, 1, 3)})
-    order = ["_hash", F.col(doc_id), F.col(size)] + ([tie] if tie is not None else [])
-    return d.withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_block").orderBy(*order))).drop("_hash")
+    d = sized.withColumns({"__cf_key": _key(source), "__cf_hash": digest, "__cf_block": F.substring(digest, 1, 3)})
+    order = ["__cf_hash", F.col(doc_id), F.col(size)] + ([tie] if tie is not None else [])
+    return d.withColumn("__cf_i", F.row_number().over(Window.partitionBy("__cf_key", "__cf_block").orderBy(*order))).drop("__cf_hash")
 
 
 def crossings(i: str, rate: str) -> tuple[Column, Column]:
@@ -83,15 +84,15 @@ def crossings(i: str, rate: str) -> tuple[Column, Column]:
 
 def with_steps(d: DataFrame, plan: DataFrame) -> DataFrame:
     """Join the plan and add whole parts and rests before (``_w0``, ``_r0``) and after each row."""
-    d = d.join(plan, ["_key", "_block"])
-    w0, r0 = crossings("_before + _i - 1", "_rate")
-    w1, r1 = crossings("_before + _i", "_rate")
-    return d.withColumns({"_w0": w0, "_r0": r0, "_w1": w1, "_r1": r1})
+    d = d.join(plan, ["__cf_key", "__cf_block"])
+    w0, r0 = crossings("__cf_before + __cf_i - 1", "__cf_rate")
+    w1, r1 = crossings("__cf_before + __cf_i", "__cf_rate")
+    return d.withColumns({"__cf_w0": w0, "__cf_r0": r0, "__cf_w1": w1, "__cf_r1": r1})
 
 
 def copies(shift: Column) -> Column:
     up = lambda rest: (F.col(rest) + shift >= ONE).cast("long")
-    return F.col("_w1") - F.col("_w0") + up("_r1") - up("_r0")
+    return F.col("__cf_w1") - F.col("__cf_w0") + up("__cf_r1") - up("__cf_r0")
 
 
 def with_copies(sized: DataFrame, narrow: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
@@ -103,27 +104,27 @@ def with_copies(sized: DataFrame, narrow: DataFrame | None = None, doc_id: str =
     small = rows if narrow is None else ranked(narrow, doc_id, source, size, tie)
     t = targets(sized if narrow is None else narrow, source, size)
     t = t.select(
-        _key("source").alias("_key"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long").alias("_rate"),
+        _key("source").alias("__cf_key"), "source_size", "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long").alias("__cf_rate"),
     )
-    run = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = small.groupBy("_key", "_block").agg(F.count("*").alias("_n"))
-    plan = cut(counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).drop("_n").join(t, "_key"), "plan")
-    tries = F.array(*(offset(F.col("_key"), k, seed) for k in range(DRAWS)))
-    sums = with_steps(small, plan).groupBy("_key", "target").agg(*(F.sum(F.col(size) * copies(offset(F.col("_key"), k, seed))).alias(f"_s{k}") for k in range(DRAWS)))
+    run = Window.partitionBy("__cf_key").orderBy("__cf_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = small.groupBy("__cf_key", "__cf_block").agg(F.count("*").alias("__cf_n"))
+    plan = cut(counts.withColumn("__cf_before", F.sum("__cf_n").over(run) - F.col("__cf_n")).drop("__cf_n").join(t, "__cf_key"), "plan")
+    tries = F.array(*(offset(F.col("__cf_key"), k, seed) for k in range(DRAWS)))
+    sums = with_steps(small, plan).groupBy("__cf_key", "target").agg(*(F.sum(F.col(size) * copies(offset(F.col("__cf_key"), k, seed))).alias(f"_s{k}") for k in range(DRAWS)))
     gaps = F.array(*(F.struct(F.abs(F.col(f"_s{k}") - F.col("target")).alias("gap"), F.lit(k).alias("draw")) for k in range(DRAWS)))
-    chosen = sums.select("_key", F.element_at(tries, F.array_min(gaps)["draw"] + 1).alias("_offset"))
-    plan = cut(plan.join(chosen, "_key"), "plan")
-    d = with_steps(rows, plan).withColumn("copies", copies(F.col("_offset")))
-    return d.drop("_key", "_block", "_i", "_before", "_rate", "_offset", "_w0", "_r0", "_w1", "_r1")
+    chosen = sums.select("__cf_key", F.element_at(tries, F.array_min(gaps)["draw"] + 1).alias("__cf_offset"))
+    plan = cut(plan.join(chosen, "__cf_key"), "plan")
+    d = with_steps(rows, plan).withColumn("copies", copies(F.col("__cf_offset")))
+    return d.drop("__cf_key", "__cf_block", "__cf_i", "__cf_before", "__cf_rate", "__cf_offset", "__cf_w0", "__cf_r0", "__cf_w1", "__cf_r1")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixture itself: every document once per copy, with ``copy`` counting from 0."""
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "copy", "tie") if c in docs.columns))
-    docs = docs.withColumns({"size": size_of(text), "tie": F.xxhash64(text)})
-    narrow = cut(docs.select(doc_id, source, "size", "tie"), "sizes")
-    d = with_copies(docs, narrow, doc_id, source, tie=F.col("tie"), seed=seed).where("copies > 0").drop("tie")
+    docs = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "copy") if c in docs.columns))
+    docs = docs.withColumns({"size": size_of(text), "__cf_tie": F.xxhash64(text)})
+    narrow = cut(docs.select(doc_id, source, "size", "__cf_tie"), "sizes")
+    d = with_copies(docs, narrow, doc_id, source, tie=F.col("__cf_tie"), seed=seed).where("copies > 0").drop("__cf_tie")
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 

@@ -68,7 +68,7 @@ s0 AS (SELECT source, key, CAST(SUM(size) AS BIGINT) AS source_size, (ROW_NUMBER
 s1 AS (SELECT *, CAST({most} * source_size AS DOUBLE) / weight AS room FROM s0),
 s2 AS (SELECT *, CAST(SUM(source_size) OVER () - SUM({most} * source_size) OVER r + {most} * source_size AS DOUBLE) / (SUM(weight) OVER () - SUM(weight) OVER r + weight) AS share FROM s1
   WINDOW r AS (ORDER BY room, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-lv AS (SELECT share AS level FROM s2 WHERE share <= room ORDER BY room, share LIMIT 1),
+lv AS (SELECT share AS level FROM s2 WHERE share <= room ORDER BY room, share DESC LIMIT 1),
 t AS (SELECT key, source_size, LEAST(CAST({most} * source_size AS DOUBLE), level * weight) AS target FROM s2 CROSS JOIN lv),
 tr AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN FLOOR(target / source_size * {one}) ELSE 0 END AS HUGEINT) AS rate FROM t),
 i AS (SELECT d.*, source_size, target, rate, ROW_NUMBER() OVER (PARTITION BY d.key ORDER BY MD5(CAST(doc_id AS VARCHAR)), doc_id, size) AS i FROM d JOIN tr USING (key)),

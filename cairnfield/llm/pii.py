@@ -151,7 +151,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(s.encode()).hexdigest(), s, near))
         return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
-    return docs.withColumn("_b", base(F.col(text))).select("*", "_b.*").drop("_b")
+    return docs.withColumn("__cf_b", base(F.col(text))).select("*", "__cf_b.*").drop("__cf_b")
 
 
 def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFrame:
@@ -231,11 +231,11 @@ def redact(text: str | None, spans: str | None) -> str | None:
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span generalised or removed from ``text``."""
-    found = cut(detect(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("spans").alias("_spans")).where("_spans <> ''").distinct(), "spans")
+    found = cut(detect(docs, doc_id, text).select(F.col("doc_id").alias("__cf_id"), F.col("doc").alias("__cf_doc"), F.col("spans").alias("__cf_spans")).where("__cf_spans <> ''").distinct(), "spans")
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([redact(t, s) for t, s in zip(texts, spans)])
 
-    met = docs.withColumn("_key", F.xxhash64(doc_id, text)).join(found, (F.col("_key") == F.col("_doc")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    return met.withColumn(text, cleaned(F.col(text), F.col("_spans"))).drop("_id", "_doc", "_spans", "_key")
+    met = docs.withColumn("__cf_key", F.xxhash64(doc_id, text)).join(found, (F.col("__cf_key") == F.col("__cf_doc")) & F.col(doc_id).eqNullSafe(F.col("__cf_id")), "left")
+    return met.withColumn(text, cleaned(F.col(text), F.col("__cf_spans"))).drop("__cf_id", "__cf_doc", "__cf_spans", "__cf_key")

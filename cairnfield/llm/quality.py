@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, words_of
+from .common import cut, shielded, words_of
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 MIN_WORDS = 50
@@ -73,7 +73,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     def measures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=MEASURES.names, dtype="int64")
 
-    m = df.withColumn("_m", measures(F.col(text))).select("*", "_m.*").drop("_m")
+    m = df.withColumn("__cf_m", measures(F.col(text))).select("*", "__cf_m.*").drop("__cf_m")
     return m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -141,22 +141,27 @@ def judge(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: str
     The fences are a written table, so Spark knows their size: it broadcasts
     them below its threshold and otherwise joins by key, splitting a hot source.
     """
-    f = fence.select(F.col("lang_key").alias("_lk"), F.col("source_key").alias("_sk"), F.struct(*[c for c in fence.columns if c not in ("lang_key", "source_key")]).alias("_f"))
-    joined = measured.join(f, (key(lang) == F.col("_lk")) & (key(source) == F.col("_sk")), "left").drop("_lk", "_sk")
+    f = fence.select(F.col("lang_key").alias("__cf_lk"), F.col("source_key").alias("__cf_sk"), F.struct(*[c for c in fence.columns if c not in ("lang_key", "source_key")]).alias("__cf_f"))
+    joined = measured.join(f, (key(lang) == F.col("__cf_lk")) & (key(source) == F.col("__cf_sk")), "left").drop("__cf_lk", "__cf_sk")
     why = F.when(F.col("base_failed"), F.lit("base"))
     for k, v in shares().items():
-        why = why.when(v > F.col(f"_f.upper_{k}"), F.lit(k))
+        why = why.when(v > F.col(f"__cf_f.upper_{k}"), F.lit(k))
         if k == "length":
-            why = why.when(v < F.col(f"_f.lower_{k}"), F.lit(k))
-    return joined.withColumn("rejected_by", why).withColumn("kept", F.col("rejected_by").isNull()).drop("_f")
+            why = why.when(v < F.col(f"__cf_f.lower_{k}"), F.lit(k))
+    return joined.withColumn("rejected_by", why).withColumn("kept", F.col("rejected_by").isNull()).drop("__cf_f")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` with measures, ``rejected_by`` and ``kept``; measured columns replace any of the same name."""
-    docs = docs.drop(*(c for c in ("rejected_by", "kept", "base_failed", "_f", "_m", "_lk", "_sk", *MEASURES.names) if c in docs.columns))
+    docs = docs.drop(*(c for c in ("rejected_by", "kept", "base_failed", *MEASURES.names) if c in docs.columns))
     return judge(with_measures(docs, text), thresholds(with_measures(docs.select(text, lang, source), text), lang, source), lang, source)
 
 
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The documents that are kept, with all their columns as they were."""
+    return shielded(docs, (text, lang, source), lambda d: quality_rules(d, text, lang, source).where("kept").select(*d.columns))
+
+
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The verdict alone, without texts: each text is measured once and the narrow measures are written."""
     m = with_measures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))).drop("text")

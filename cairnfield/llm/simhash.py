@@ -131,11 +131,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     again = cut(own.where("stays and n > 1").select("id", "doc"), "again")
 
     def match(keys: DataFrame):
-        return (F.col("_key") == keys["doc"]) & F.col(doc_id).eqNullSafe(keys["id"])
+        return (F.col("__cf_key") == keys["doc"]) & F.col(doc_id).eqNullSafe(keys["id"])
 
-    kept = docs.withColumn("_key", key).join(dropped, match(dropped), "left_anti")
-    once = kept.join(again, match(again), "left_semi").dropDuplicates(["_key", doc_id])
-    return kept.join(again, match(again), "left_anti").unionByName(once).drop("_key")
+    kept = docs.withColumn("__cf_key", key).join(dropped, match(dropped), "left_anti")
+    once = kept.join(again, match(again), "left_semi").dropDuplicates(["__cf_key", doc_id])
+    return kept.join(again, match(again), "left_anti").unionByName(once).drop("__cf_key")
 
 
 def hex_of(fp: Column) -> Column:

@@ -94,5 +94,5 @@ def judge(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, st
             out.append((rule, verdict or ("block" if sum(weights[t] for t in hits) >= limit else "allow"), strict, len(hits) - strict))
         return pd.DataFrame(out, columns=["rule", "verdict", "n_strict", "n_soft"])
 
-    pages = pages.drop(*(c for c in ("host", "path", "rule", "verdict", "n_strict", "n_soft", "_v") if c in pages.columns and c != url))
-    return pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("_v", verdicts("host", "path")).select("*", "_v.*").drop("_v")
+    pages = pages.drop(*(c for c in ("host", "path", "rule", "verdict", "n_strict", "n_soft", "__cf_v") if c in pages.columns and c != url))
+    return pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("__cf_v", verdicts("host", "path")).select("*", "__cf_v.*").drop("__cf_v")
