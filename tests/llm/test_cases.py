@@ -34,6 +34,7 @@ def test_quality(docs, none):
     assert out.count() == len(ROWS) and set(docs.columns) - {"kept"} <= set(out.columns)
     assert {r.doc_id: (r.n_words, r.base_failed) for r in out.collect()}[2] == (0, True)
     assert quality.verdicts(docs).count() == len(ROWS)
+    assert quality.keep(docs).columns == docs.columns
     assert quality.quality_rules(none).count() == 0 == quality.verdicts(none).count()
 
 
@@ -95,9 +96,8 @@ def test_simhash(docs, none):
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert simhash.near_duplicates(docs).count() == len(ROWS)
     assert {v for (k, fp), v in got.items() if fp == 0} == {2}  # null, empty and blank texts
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.drop("_key").columns or set(kept.columns) <= set(docs.columns)
-    assert simhash.near_duplicates(none).count() == 0 == simhash.keep_first(none.drop("_key")).count()
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.near_duplicates(none).count() == 0 == simhash.keep_first(none).count()
 
 
 def test_keep_first_keeps_one_row_of_each_group(spark):
@@ -111,7 +111,8 @@ def test_linededup(docs, none):
     assert out.count() == len(ROWS)
     by = {r.doc_id: r for r in out.collect()}
     assert by[2].text is None and by[3].text == "   \n\n\t" and by[1].n_removed == 0 and by[4].text == LONG
-    assert linededup.without_repeats(docs.drop("_key")).count() == len(ROWS)
+    rest = linededup.without_repeats(docs.withColumn("n_lines", F.lit("mine")))
+    assert rest.columns == [*docs.columns, "n_lines"] and rest.where("n_lines = 'mine'").count() == len(ROWS)
     assert linededup.dedup(none).count() == 0
 
 
