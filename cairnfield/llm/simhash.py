@@ -113,30 +113,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id, and of its rows one.
-
-    Only the keys of rows to drop are joined to the texts; rows that agree in id
-    and text count as one document.
-    """
-    key = F.xxhash64(doc_id, text)
-    fps = docs.select(F.col(doc_id).alias("id"), key.alias("doc"), F.col(text).alias("text"))
-    fps = cut(with_fingerprint(fps, "text", k).groupBy("id", "doc", "fp").agg(F.count("*").alias("n")), "fps")
-    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("id", "doc")).alias("least")), "distinct")
-    root = components(links(distinct)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").select("fp", "kept"), "named")
-    own = fps.join(named, "fp").withColumn("stays", F.struct("id", "doc").eqNullSafe(F.col("kept")))
-    dropped = cut(own.where("not stays").select("id", "doc"), "dropped")
-    again = cut(own.where("stays and n > 1").select("id", "doc"), "again")
-
-    def match(keys: DataFrame):
-        return (F.col("__cf_key") == keys["doc"]) & F.col(doc_id).eqNullSafe(keys["id"])
-
-    kept = docs.withColumn("__cf_key", key).join(dropped, match(dropped), "left_anti")
-    once = kept.join(again, match(again), "left_semi").dropDuplicates(["__cf_key", doc_id])
-    return kept.join(again, match(again), "left_anti").unionByName(once).drop("__cf_key")
-
-
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
