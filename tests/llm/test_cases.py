@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, urlfilter, warc
+from cairnfield.llm import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, similar, urlfilter, warc
 
 LONG = "word and other words " * 60_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, _key string, copies int"
@@ -96,14 +96,19 @@ def test_simhash(docs, none):
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert simhash.near_duplicates(docs).count() == len(ROWS)
     assert {v for (k, fp), v in got.items() if fp == 0} == {2}  # null, empty and blank texts
-    assert simhash.keep_first(docs).columns == docs.columns
-    assert simhash.near_duplicates(none).count() == 0 == simhash.keep_first(none).count()
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_similar(docs, none):
+    out = similar.keep_first(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 4, 5]  # texts without words are one group
+    assert similar.keep_first(none).count() == 0
 
 
 def test_keep_first_keeps_one_row_of_each_group(spark):
     t = "some words that are the same in all of these texts and more"
     d = spark.createDataFrame([(1, t), (1, t), (2, t), (3, "entirely different words here to be kept alone"), (None, "nothing to do with the others at all")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0) for r in simhash.keep_first(d, k=5).collect()) == [0, 1, 3]
+    assert sorted((r.doc_id or 0) for r in similar.keep_first(d).collect()) == [0, 1, 3]
 
 
 def test_linededup(docs, none):

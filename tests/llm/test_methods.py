@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, urlfilter, warc
+from cairnfield.llm import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, similar, urlfilter, warc
 from cairnfield.llm.common import components
 from tests.conftest import DATA
 
@@ -302,6 +302,26 @@ def test_components_of_documents(spark):
     assert {r.doc_id: r.fp & (2**64 - 1) for r in got} == fp
 
 
+def test_similar_documents_against_brute_force(spark):
+    r = random.Random(12)
+    stock = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(900)]
+    texts = []
+    for i in range(40):
+        words = [r.choice(stock) for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            w = list(words)
+            for at in r.sample(range(len(w)), round(len(w) * r.choice([0.01, 0.015, 0.02, 0.05]))):
+                w[at] = r.choice(stock)
+            texts.append(" ".join(w))
+    sets = [set(similar.shingles_of(t)) for t in texts]
+    edges = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(range(len(texts)), edges)
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    kept = {x.doc_id for x in similar.keep_first(docs).collect()}
+    assert len(edges) > 60 and kept >= set(want.values()) and len(kept - set(want.values())) <= 1
+
+
 # ---- op9
 
 
