@@ -52,14 +52,14 @@ def test_names():
 
 
 def test_filenames():
-    a, b = "/x/USCATE20170402_depth.tif", "/x/USCATE20170605_depth.tif"
-    assert filenames.parse_name(a) == ("USCATE", date(2017, 4, 2))
+    a, b = "/x/BASIN20170402_depth.tif", "/x/BASIN20170605_depth.tif"
+    assert filenames.parse_name(a) == ("BASIN", date(2017, 4, 2))
     assert filenames.check_order(a, b) == (date(2017, 4, 2), date(2017, 6, 5))
     for x, y in ((b, a), (a, a)):
         with pytest.raises(ValueError):
             filenames.check_order(x, y)
-    assert filenames.clipped_names(a, b, "/o") == ("/o/USCATE20170402_clipped_to_20170605_depth.tif", "/o/USCATE20170605_clipped_to_20170402_depth.tif")
+    assert filenames.clipped_names(a, b, "/o") == ("/o/BASIN20170402_clipped_to_20170605_depth.tif", "/o/BASIN20170605_clipped_to_20170402_depth.tif")
     assert filenames.clip_state(a, b) == "clip" and filenames.clip_state(*filenames.clipped_names(a, b)) == "reuse"
     with pytest.raises(ValueError):
         filenames.clip_state(a, filenames.clipped_names(a, b)[0])
-    assert filenames.output_name("/r", a, b, "flags.tif") == "/r/USCATE/20170402_20170605/USCATE20170402_20170605_diff_flags.tif"
+    assert filenames.output_name("/r", a, b, "flags.tif") == "/r/BASIN/20170402_20170605/BASIN20170402_20170605_diff_flags.tif"
