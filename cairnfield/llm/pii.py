@@ -3,9 +3,10 @@
 Four patterns find emails, IP addresses, card and phone numbers.  Beyond them,
 the corpus itself tells which terms disclose that such an entity is near.  With
 ``p(c)`` the share of documents that hold an entity of class c and ``p(c|t)`` the
-share of the documents with term t in which one stands within ``NEAR`` words of
-it, the information that t gives about c is PMI(c;t) = log2 p(c|t) / p(c), at
-most IC(c) = -log2 p(c).  The disclosure of a term is PMI / IC, with the lower
+number of different entities of c within ``NEAR`` words of term t over the
+documents with t, the information that t gives about c is PMI(c;t) =
+log2 p(c|t) / p(c), at most IC(c) = -log2 p(c).  As different entities count,
+copies of a document are no further evidence.  The disclosure of a term is PMI / IC, with the lower
 bound of Wilson's interval for p(c|t), so that a rare term discloses nothing by
 chance.  Terms of at least ``GENERALISE`` are replaced by a general word, those of
 at least ``REMOVE`` are removed.
@@ -36,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR = 6
 #: Characters on either side in which the nearest words are looked for.
 REACH = 400
-MIN_DOCS = 5
+MIN_ENTITIES = 5
 GENERALISE, REMOVE = 0.75, 0.9
 Z = 2.576
 FILTER_WORDS = 1 << 16
@@ -97,14 +98,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def terms_near(text: str, spans: list[Span]) -> set[tuple[str, str]]:
-    """``(kind, term)`` of the words around each span that are not in a span themselves."""
-    out: set[tuple[str, str]] = set()
+def terms_near(text: str, spans: list[Span]) -> set[tuple[str, str, int]]:
+    """``(kind, term, entity)`` of the words around each span that are not in a span themselves."""
+    out: set[tuple[str, str, int]] = set()
     for kind, a, b in spans:
         left, right = text[max(0, a - REACH) : a].lower(), text[b : b + REACH].lower()
         before = [m[0] for m in TERM.finditer(left) if (m.start() > 0 or a <= REACH) and not covered(a - len(left) + m.start(), spans)]
         after = [m[0] for m in TERM.finditer(right) if (m.end() < len(right) or b + REACH >= len(text)) and not covered(b + m.start(), spans)]
-        out.update((kind, t) for t in before[-NEAR:] + after[:NEAR])
+        entity = xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) >> 1
+        out.update((kind, t, entity) for t in before[-NEAR:] + after[:NEAR])
     return out
 
 
@@ -134,7 +136,7 @@ def filter_of(terms: DataFrame) -> Filter:
     return Filter(words)
 
 
-BASE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<kind:string,term:string>>"
+BASE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<kind:string,term:string,entity:long>>"
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -147,7 +149,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
             spans = base_spans(t)
             s = joined(spans)
             kinds = [k for k, _, _ in spans]
-            near = [{"kind": k, "term": w} for k, w in sorted(terms_near(t, spans))] if spans else []
+            near = [{"kind": k, "term": w, "entity": e} for k, w, e in sorted(terms_near(t, spans))] if spans else []
             out.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(s.encode()).hexdigest(), s, near))
         return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
@@ -157,7 +159,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFrame:
     """``(term, kind)``: the terms to generalise (``term``) or to remove (``reveal``), with their ``disclosure``."""
     n = based.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in KINDS)).first()
-    near = based.select(F.inline("near")).groupBy("kind", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCS)
+    near = based.select(F.inline("near")).distinct().groupBy("kind", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_ENTITIES)
     near = cut(near, "near")
     wanted = near.select("term").distinct()
     held = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
@@ -169,7 +171,7 @@ def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFra
 
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     both = near.join(counts, "term")
-    p, z = F.col("n_both") / F.col("n_term"), F.lit(Z)
+    p, z = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)), F.lit(Z)
     low = (p + z * z / (2 * F.col("n_term")) - z * F.sqrt(p * (1 - p) / F.col("n_term") + z * z / (4 * F.col("n_term") ** 2))) / (1 + z * z / F.col("n_term"))
     prior = F.create_map(*(F.lit(x) for k in KINDS for x in (k, max(n[k], 1) / max(n.n, 1))))[F.col("kind")]
     worth = F.when(prior < 1, F.log2(low / prior) / -F.log2(prior)).otherwise(F.lit(0.0))
