@@ -112,12 +112,14 @@ def test_disclosing_terms(spark):
         if i % 5 == 0:
             words[20:20] = ["mailbox", f"u{i}@example.com"]
         rows.append((i, " ".join(words)))
+    rows += [(i, "copied words around same@example.com and others") for i in range(601, 640, 2)]  # copies are no evidence
     out = pii.detect(spark.createDataFrame(rows, DOC)).collect()
     text = dict(rows)
     for x in out:
         base = [s.split(":") for s in x.spans.split(",") if s]
         kinds = {(k, text[x.doc_id][int(a) : int(b)].split("@")[-1]) for k, a, b in base}
-        assert kinds == ({("email", "example.com"), ("reveal", "mailbox")} if x.doc_id % 5 == 0 else set())
+        planted = {("email", "example.com"), ("reveal", "mailbox")}
+        assert kinds == (planted if x.doc_id % 5 == 0 and x.doc_id < 600 else {("email", "example.com")} if x.doc_id > 600 else set())
     clean = pii.sanitise(spark.createDataFrame(rows, DOC)).where("doc_id = 0").first().text
     assert "[EMAIL]" in clean and "mailbox" not in clean
 
