@@ -1,17 +1,18 @@
 """Fuzzy line dedup in DataFrame functions only.
 
-Lines are lower-cased and trimmed; equal normalised lines are one from the
-start.  A 64-bit SimHash is taken of each line's pairs of neighbouring words,
-with its ends as words, by summing the bits of all pair hashes.  The partial sums
-run before the shuffle, so a line that repeats a billion times is one row per
-task, and as repeats scale all sums alike, they leave the majority of each bit
-as it is.
+Lines are lower-cased and cut into words at ASCII characters that are neither
+letter nor digit; lines of equal words are one from the start.  A 64-bit SimHash
+is taken of each line's pairs of neighbouring words, with its ends as words, by
+summing the bits of all pair hashes.  The partial sums run before the shuffle,
+so a line that repeats a billion times is one row per task, and as repeats scale
+all sums alike, they leave the majority of each bit as it is.
 
 Fingerprints at most 3 bits apart agree in one of four 16-bit blocks, so they
 meet in an equi-join on (block, bits); the Hamming distance is checked inside
-the join's condition.  Links are kept where the edit similarity of the two lines,
-1 - words edited / words of the longer one, is at least ``SIMILARITY``; only texts
-of linked lines are fetched for this, through a filter of fixed size.  Each connected group
+the join's condition.
+Links are kept where the edit similarity of the two lines, 1 - characters edited
+/ characters of the longer one, is at least ``SIMILARITY``; only texts of linked
+lines are fetched for this, through a filter of fixed size.  Each connected group
 keeps its first occurrence by (doc_id, position), and the others are cut from
 their documents.
 
@@ -19,7 +20,7 @@ Cases: null and empty texts stay as they are; lines without words are neither
 matched nor removed; a null ``doc_id`` comes before all others; documents that
 agree in id and text count as one and are treated alike; other columns stay; an
 empty table gives an empty result.  Lines that differ but share a 64-bit hash
-would be taken as equal, and in 1 of 53,248 cases two words are in edits.
+would be taken as equal.
 """
 
 from __future__ import annotations
@@ -34,27 +35,32 @@ SIMILARITY = 0.8
 BLOCKS = 4
 #: Words of 64 bits in the filter of linked lines: 512 KB whatever the input.
 FILTER_WORDS = 1 << 16
-#: White space at the ends of a line that its normalised form lacks.
-BLANKS = " \t\r\x0b\x0c"
+#: ASCII that is in no word, but for the line feed; single spaces stay as they are.
+GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}|[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Features that the 16-bit counters of a sum can count with a bit to spare.
 NARROW = (1 << 14) - 1
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, doc, line_no, line, h)``: each line with a word, normalised; ``h`` names its normalised form."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("doc"), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
-    return d.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    plain = F.split(F.regexp_replace(F.lower(text), GAPS, " "), "\n")
+    d = docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("doc"), F.posexplode(plain).alias("line_no", "line"))
+    return d.withColumn("line", F.btrim("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
 
 
 def doc_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def features(lines: DataFrame) -> DataFrame:
-    """``(h, x)``: the hash of each pair of neighbouring words, with the line's ends as words."""
+def word_pairs(lines: DataFrame) -> DataFrame:
+    """``(h, size, u, v)``: each pair of neighbouring words, with the line's ends as words."""
     words, edge = F.split("line", " "), F.array(F.lit(""))
-    pairs = lines.select("h", F.inline(F.arrays_zip(F.concat(edge, words).alias("u"), F.concat(words, edge).alias("v"))))
-    return pairs.select("h", F.xxhash64("u", "v").alias("x"))
+    return lines.select("h", F.length("line").alias("size"), F.inline(F.arrays_zip(F.concat(edge, words).alias("u"), F.concat(words, edge).alias("v"))))
+
+
+def features(lines: DataFrame) -> DataFrame:
+    """``(h, x)``: the hash of each pair of neighbouring words."""
+    return word_pairs(lines).select("h", F.xxhash64("u", "v").alias("x"))
 
 
 def counted(features: DataFrame, fields: int) -> DataFrame:
@@ -128,15 +134,9 @@ def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return passed.groupBy("h", "line").agg(F.lit(1)).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
 
 
-def spelled(line: Column) -> Column:
-    """A line with each word as one character, taken from a hash: edits of words become edits of characters."""
-    code = F.transform(F.split(line, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD000)) + 0x100), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
-
-
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The links whose lines have the edit similarity asked for, counted in words."""
-    t = cut(texts.select("h", spelled(F.col("line")).alias("s")), "spelled")
+    """The links whose lines have the edit similarity asked for, counted in characters."""
+    t = cut(texts.select("h", F.col("line").alias("s")), "texts")
     x, y = t.select(F.col("h").alias("a"), F.col("s").alias("x")), t.select(F.col("h").alias("b"), F.col("s").alias("y"))
     longer = F.greatest(F.length("x"), F.length("y"))
     most = F.floor((1 - similarity) * longer + 1e-9).cast("int")

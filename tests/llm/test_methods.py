@@ -391,6 +391,18 @@ def test_long_and_frequent_lines(spark):
     assert got == {1: 0, 2: 1, 3: 29_999, 4: 0}
 
 
+def test_lines_differ_in_punctuation(spark):
+    rows = [(1, "All rights reserved."), (2, "- all\trights   reserved!"), (3, "All rights reserved"), (6, "-- !!"), (7, "-- !!")]
+    got = {x.doc_id: x.n_removed for x in linededup.dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 6: 0, 7: 0}
+
+
+def test_edits_count_characters(spark):
+    links = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = spark.createDataFrame([(1, "please contact the administrator"), (2, "please contact teh administrator"), (3, "please contact our headquarters")], "h long, line string")
+    assert [(x.a, x.b) for x in linededup.verified(links, texts).collect()] == [(1, 2)]
+
+
 # ---- op10
 
 
