@@ -324,6 +324,12 @@ def test_similar_documents_against_brute_force(spark):
     assert len(edges) > 60 and kept >= set(want.values()) and len(kept - set(want.values())) <= 1
 
 
+def test_similar_with_a_repeated_passage(spark):
+    words = [f"word{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:30])), (3, " ".join(f"other{i}" for i in range(100)))]
+    assert {x.doc_id for x in similar.keep_first(spark.createDataFrame(rows, DOC)).collect()} == {1, 3}
+
+
 # ---- op9
 
 
