@@ -330,6 +330,29 @@ def test_similar_with_a_repeated_passage(spark):
     assert {x.doc_id for x in similar.keep_first(spark.createDataFrame(rows, DOC)).collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("kind", ["scattered", "replaced", "appended"])
+def test_similar_whatever_the_edit(spark, kind):
+    r, rows = random.Random(5), []
+    for i in range(150):
+        size = r.choice([100, 300, 1000])
+        old = [f"{i}w{k}" for k in range(size)]
+        new, fresh = list(old), [f"{i}v{k}" for k in range(size)]
+        if kind == "scattered":
+            for at in range(20, size, 48):
+                new[at] = fresh[at]
+        elif kind == "replaced":
+            most = (size - 4) // 9 - 4
+            at = r.randrange(4, size - most - 4)
+            new[at : at + most] = fresh[:most]
+        else:
+            new += fresh[: size // 5 + size // 50]
+        a, b = set(similar.shingles_of(" ".join(old))), set(similar.shingles_of(" ".join(new)))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        rows += [(2 * i, " ".join(old)), (2 * i + 1, " ".join(new))]
+    kept = {x.doc_id for x in similar.keep_first(spark.createDataFrame(rows, DOC)).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
 # ---- op9
 
 
