@@ -1,11 +1,13 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts are lower-cased and cut into words of letters and digits.  An item of L
-words is looked for in every window of L words of every whole text:
+words is looked for in every window of L words of every whole text; a text of
+fewer words is one window for it:
 
 1. A window whose 5-word shingles are to agree to ``threshold`` with an item's
-   must hold at least ``2t/(1+t)`` of that many shingles of some item.  Windows
-   with fewer are passed over; nothing that the last step could accept is lost.
+   must hold at least ``t/(1+t)`` of the shingles of both together, which is
+   ``2t/(1+t)`` of its own where both have as many.  Windows with fewer are
+   passed over; nothing that the last step could accept is lost.
 2. Each window left gets a 64-bit SimHash of its words.
 3. Fingerprints are looked up in a multi-index: RADIUS + 1 blocks of bits, so
    that two fingerprints at most RADIUS bits apart agree in one block at least.
@@ -124,16 +126,18 @@ class Index:
         sizes = set().union(*(self.sizes_of[grams[i]] for i in np.flatnonzero(hit)))
         best: dict[int, tuple[float, int]] = {}
         known: dict[str, np.ndarray] = {}
-        for size in sorted(s for s in sizes if s <= len(words) and min(s, SHINGLE) == k):
-            own = size - k + 1
-            least = np.ceil(2 * self.threshold / (1 + self.threshold) * own - 1e-9)
+        for size in sorted(s for s in sizes if min(s, SHINGLE) == k):
+            # an item longer than the text is held against the whole of it
+            width = min(size, len(words))
+            own = width - k + 1
+            least = np.ceil(self.threshold / (1 + self.threshold) * (own + size - k + 1) - 1e-9)
             starts = np.flatnonzero(held[own:] - held[:-own] >= least)
             if not len(starts):
                 continue
             index = self.by_size[size]
             # starts far from each other are fingerprinted apart, so that memory follows their number
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-                for start, fp in zip(run.tolist(), fingerprints(words, run, size, known).tolist()):
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
+                for start, fp in zip(run.tolist(), fingerprints(words, run, width, known).tolist()):
                     near = {i for b, v in enumerate(blocks_of(fp)) for i in index.get((b, v), ())}
                     near = [i for i in near if (self.prints[i] ^ fp).bit_count() <= RADIUS]
                     if near:
@@ -143,7 +147,7 @@ class Index:
                             if s >= self.threshold and s > best.get(i, (0.0, 0))[0]:
                                 best[i] = (s, start)
         for i, (s, start) in best.items():
-            yield self.items[i][0], s, start, len(self.items[i][1])
+            yield self.items[i][0], s, start, min(len(self.items[i][1]), len(words))
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str | None]]]:

@@ -205,6 +205,28 @@ def test_windows_against_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in out.collect()} == want and len(want) >= 10
 
 
+def test_texts_shorter_than_the_item(spark):
+    r = random.Random(14)
+    items = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randint(5, 60)))) for i in range(120)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for less in range(1, 4 + len(w) // 5):
+            rows += [(len(rows), " ".join(w[:-less])), (len(rows) + 1, " ".join(w[less:]))]
+    want = set()
+    for d, t in rows:
+        words = decontaminate.tokens(t)
+        for i, item in items:
+            own = decontaminate.tokens(item)
+            size, c = min(len(own), len(words)), Counter(decontaminate.shingles(own))
+            windows = (Counter(decontaminate.shingles(words[s : s + size])) for s in range(len(words) - size + 1))
+            if max((decontaminate.similarity(x, c) for x in windows if x), default=0) >= decontaminate.THRESHOLD:
+                want.add((d, i))
+    out = decontaminate.contaminated(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in out} == want and len(want) > 300
+    assert all(x.start_word == 0 and x.n_words == len(dict(rows)[x.doc_id].split()) for x in out)
+
+
 def test_small_item_blocks(spark):
     b = spark.createDataFrame([(i, f"text of item number {i} with words") for i in range(20)], "item_id long, text string")
     parts = list(decontaminate.item_blocks(b, "item_id", "text", 200))
