@@ -2,21 +2,22 @@
 
 Four patterns find emails, IP addresses, card and phone numbers.  Beyond them,
 the corpus itself tells which terms disclose that such an entity is near.  With
-``p(c)`` the share of documents that hold an entity of class c and ``p(c|t)`` the
-number of different entities of c within ``NEAR`` words of term t over the
-documents with t, the information that t gives about c is PMI(c;t) =
-log2 p(c|t) / p(c), at most IC(c) = -log2 p(c).  As different entities count,
-copies of a document are no further evidence.  The disclosure of a term is PMI / IC, with the lower
+``p(c)`` the share of texts that hold an entity of class c and ``p(c|t)`` the
+share, of the texts that hold term t, of those with one of c within ``NEAR``
+words of t, the information that t gives about c is PMI(c;t) =
+log2 p(c|t) / p(c), at most IC(c) = -log2 p(c).  All three counts are of different
+texts, so copies of a document neither add to a share nor dilute it.  The
+disclosure of a term is PMI / IC, with the lower
 bound of Wilson's interval for p(c|t), so that a rare term discloses nothing by
 chance.  Terms of at least ``GENERALISE`` are replaced by a general word, those of
 at least ``REMOVE`` are removed.
 
-Counts are over all documents.  Terms near entities are counted first; document
+Counts are over all texts.  Terms near entities are counted first; document
 frequencies are then needed for those alone, and a filter of fixed size (512 KB)
 keeps other words from being shuffled; exact joins follow it.
 
 Cases: a null or empty text holds nothing; repeated rows are judged alike (equal
-rows count each in the statistics); null ids are kept; other columns are ignored;
+rows and copies count once in the statistics); null ids are kept; other columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -37,7 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR = 6
 #: Characters on either side in which the nearest words are looked for.
 REACH = 400
-MIN_ENTITIES = 5
+#: Different texts that hold a term near an entity, for it to be judged.
+MIN_TEXTS = 5
 GENERALISE, REMOVE = 0.75, 0.9
 Z = 2.576
 FILTER_WORDS = 1 << 16
@@ -98,15 +100,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def terms_near(text: str, spans: list[Span]) -> set[tuple[str, str, int]]:
-    """``(kind, term, entity)`` of the words around each span that are not in a span themselves."""
-    out: set[tuple[str, str, int]] = set()
+def terms_near(text: str, spans: list[Span]) -> set[tuple[str, str]]:
+    """``(kind, term)`` of the words around each span that are not in a span themselves."""
+    out: set[tuple[str, str]] = set()
     for kind, a, b in spans:
         left, right = text[max(0, a - REACH) : a].lower(), text[b : b + REACH].lower()
         before = [m[0] for m in TERM.finditer(left) if (m.start() > 0 or a <= REACH) and not covered(a - len(left) + m.start(), spans)]
         after = [m[0] for m in TERM.finditer(right) if (m.end() < len(right) or b + REACH >= len(text)) and not covered(b + m.start(), spans)]
-        entity = xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) >> 1
-        out.update((kind, t, entity) for t in before[-NEAR:] + after[:NEAR])
+        out.update((kind, t) for t in before[-NEAR:] + after[:NEAR])
     return out
 
 
@@ -125,18 +126,24 @@ class Filter:
         return bool(int(self.words[h % FILTER_WORDS]) >> (h >> 32 & 63) & 1)
 
 
-def filter_of(terms: DataFrame) -> Filter:
-    """At most FILTER_WORDS rows reach the driver, whatever the number of terms."""
-    h = F.xxhash64("term")
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of signed hashes are members."""
+        bits = self.words[np.mod(hashes, FILTER_WORDS)] >> (hashes.view(np.uint64) >> np.uint64(32) & np.uint64(63))
+        return (bits & np.uint64(1)).astype(bool)
+
+
+def filter_of(members: DataFrame, h: Column | None = None) -> Filter:
+    """At most FILTER_WORDS rows reach the driver, whatever the number of members; ``h`` is a hash, of ``term`` by default."""
+    h = F.xxhash64("term") if h is None else h
     bit = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
-    rows = terms.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).collect()
+    rows = members.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).collect()
     words = np.zeros(FILTER_WORDS, np.uint64)
     for r in rows:
         words[r.slot] = r.bits & 0xFFFFFFFFFFFFFFFF
     return Filter(words)
 
 
-BASE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<kind:string,term:string,entity:long>>"
+BASE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<kind:string,term:string>>"
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -149,7 +156,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
             spans = base_spans(t)
             s = joined(spans)
             kinds = [k for k, _, _ in spans]
-            near = [{"kind": k, "term": w, "entity": e} for k, w, e in sorted(terms_near(t, spans))] if spans else []
+            near = [{"kind": k, "term": w} for k, w in sorted(terms_near(t, spans))] if spans else []
             out.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(s.encode()).hexdigest(), s, near))
         return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
@@ -157,25 +164,42 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFrame:
-    """``(term, kind)``: the terms to generalise (``term``) or to remove (``reveal``), with their ``disclosure``."""
-    n = based.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in KINDS)).first()
-    near = based.select(F.inline("near")).distinct().groupBy("kind", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_ENTITIES)
+    """``(term, kind)``: the terms to generalise (``term``) or to remove (``reveal``), with their ``disclosure``.
+
+    ``same`` of both tables is a hash of the text.
+    """
+    holds = based.select("same", *((F.col(f"n_{k}") > 0).alias(k) for k in KINDS)).distinct()
+    n = holds.agg(F.count("*").alias("n"), *(F.count_if(k).alias(k) for k in KINDS)).first()
+    near = based.select("same", F.inline("near")).distinct().groupBy("kind", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
     near = cut(near, "near")
-    wanted = near.select("term").distinct()
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
-
-    @F.pandas_udf("array<string>")
-    def terms(texts: pd.Series) -> pd.Series:
-        passed = held.value
-        return pd.Series([[w for w in set(TERM.findall(t.lower())) if w in passed] if t else [] for t in texts])
-
-    counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    both = near.join(counts, "term")
-    p, z = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)), F.lit(Z)
-    low = (p + z * z / (2 * F.col("n_term")) - z * F.sqrt(p * (1 - p) / F.col("n_term") + z * z / (4 * F.col("n_term") ** 2))) / (1 + z * z / F.col("n_term"))
+    copied = docs.sparkSession.sparkContext.broadcast(filter_of(based.groupBy("same").count().where("count > 1"), F.col("same")))
     prior = F.create_map(*(F.lit(x) for k in KINDS for x in (k, max(n[k], 1) / max(n.n, 1))))[F.col("kind")]
-    worth = F.when(prior < 1, F.log2(low / prior) / -F.log2(prior)).otherwise(F.lit(0.0))
-    out = both.select("term", worth.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+    def terms_of(wanted: DataFrame, single: bool) -> DataFrame:
+        """``(same, term)`` for each row, and of those of texts with copies none if ``single``."""
+        held = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
+
+        @F.pandas_udf("array<string>")
+        def terms(texts: pd.Series, same: pd.Series) -> pd.Series:
+            passed = held.value
+            skip = copied.value.hold(same.to_numpy(np.int64)) if single else np.zeros(len(texts), bool)
+            return pd.Series([[w for w in set(TERM.findall(t.lower())) if w in passed] if t and not s else [] for t, s in zip(texts, skip)])
+
+        return docs.select("same", F.explode(terms(F.col(text), F.col("same"))).alias("term"))
+
+    def judged(both: DataFrame) -> DataFrame:
+        p, z = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)), F.lit(Z)
+        low = (p + z * z / (2 * F.col("n_term")) - z * F.sqrt(p * (1 - p) / F.col("n_term") + z * z / (4 * F.col("n_term") ** 2))) / (1 + z * z / F.col("n_term"))
+        worth = F.when(prior < 1, F.log2(low / prior) / -F.log2(prior)).otherwise(F.lit(0.0))
+        return both.withColumn("disclosure", worth).where(F.col("disclosure") >= GENERALISE)
+
+    # texts without copies are counted by rows first, with nothing to shuffle but sums: more texts only lower
+    # a disclosure, so terms that fail by these alone are out, and different texts are told apart for few terms
+    alone = terms_of(near.select("term"), True).groupBy("term").agg(F.count("*").alias("n_alone"))
+    least = near.join(alone, "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_alone", F.lit(0)), "n_both"))
+    likely = cut(judged(least).select("kind", "term", "n_both"), "likely")
+    counts = terms_of(likely.select("term"), False).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    out = judged(likely.join(counts, "term")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     return cut(out.withColumn("kind", F.when(F.col("disclosure") >= REMOVE, F.lit("reveal")).otherwise(F.lit("term"))), "disclosing")
 
 
@@ -207,7 +231,7 @@ def hits_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, ``base_sha256``, ``spans`` and ``doc``, a hash of id and text to join by."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("doc"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("doc"), F.xxhash64(text).alias("same"))
     based = cut(with_base(d).drop("text"), "base")
     found = disclosing(d, based)
     extra = hits_of(d, found).withColumnRenamed("doc_id", "other_id").withColumnRenamed("doc", "other")

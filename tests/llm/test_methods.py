@@ -124,6 +124,25 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean and "mailbox" not in clean
 
 
+def test_disclosure_counts_different_texts(spark):
+    """Copies do not hide a term, and one entity beside a term in many different texts discloses it."""
+    r = random.Random(9)
+    stock = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    texts = []
+    for i in range(1200):
+        words = [r.choice(stock) for _ in range(40)]
+        if i % 20 == 0:
+            words[20:20] = ["mailbox", f"u{i}@example.com"]
+        elif i % 20 == 1:
+            words[20:20] = ["zebediah", "same@example.com"]
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 300
+    out = pii.detect(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()
+    told = {(x.doc_id, texts[x.doc_id][int(a) : int(b)]) for x in out for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k in ("reveal", "term")}
+    want = {(i, w) for i, t in enumerate(texts) for w in ("mailbox", "zebediah") if w in t}
+    assert told == want
+
+
 def test_redact():
     assert pii.redact("abc def ghi", "email:4:7") == "abc [EMAIL] ghi"
     assert pii.redact("abcdef", "ip:1:4,card:2:5,reveal:5:6") == "a[IP]" and pii.redact(None, "ip:0:1") is None
