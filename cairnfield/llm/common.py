@@ -8,6 +8,7 @@ yields exactly these words.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -48,14 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is set, as there driver and executors are one process.
+    Only a session of one process (master ``local``) that names none gets a
+    temporary folder; on a cluster executors could not see it, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext.getCheckpointDir()
         at = held.rsplit("/", 1)[0] if held else None
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="cairnfield-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext.getCheckpointDir():
@@ -68,15 +71,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cairnfield/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     The lineage ends there, so a lost executor costs only the tasks that ran on
-    it, and what was computed is not computed again by each of its readers.
+    it, and what was computed is not computed again by each of its readers.  The
+    shuffle files of the write have no further use and are removed with its end.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cf_path"] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` made, once all that reads them is written."""
+    for t in tables:
+        if t is not None and "_cf_path" in t.__dict__:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path = jvm.org.apache.hadoop.fs.Path(t.__dict__["_cf_path"])
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shielded(docs: DataFrame, own: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -114,18 +138,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             on = to.select(F.col("node").alias("n2"), F.col("to").alias("t2"))
             nxt = cut(to.join(on, to["to"] == on["n2"]).select("node", F.col("t2").alias("to"), (F.col("t2") != F.col("to")).alias("moved")), "jump")
             moved = not nxt.where("moved").isEmpty()
-            to = nxt.select("node", "to")
+            drop(to)
+            to = nxt
             if not moved:
                 break
-        labels = to if labels is None else cut(
-            labels.alias("l").join(to.alias("t"), F.col("l.to") == F.col("t.node"), "left")
-            .select(F.col("l.node").alias("node"), F.coalesce("t.to", "l.to").alias("to")), "labels")
-        p, q = to.select(F.col("node").alias("u"), F.col("to").alias("pu")), to.select(F.col("node").alias("v"), F.col("to").alias("pv"))
+        now = to.select("node", "to")
+        last, old = labels, e
+        if labels is None:
+            labels = cut(now, "labels")
+        else:
+            labels = cut(
+                labels.alias("l").join(now.alias("t"), F.col("l.to") == F.col("t.node"), "left")
+                .select(F.col("l.node").alias("node"), F.coalesce("t.to", "l.to").alias("to")), "labels")
+        p, q = now.select(F.col("node").alias("u"), F.col("to").alias("pu")), now.select(F.col("node").alias("v"), F.col("to").alias("pv"))
         e = cut(e.join(p, "u").join(q, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+        drop(to, last, old)
     else:
         raise RuntimeError("the components did not settle")
     if labels is None:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return labels.select("node", F.col("to").alias("root"))
-
-
+    drop(e)
+    out = labels.select("node", F.col("to").alias("root"))
+    out.__dict__["_cf_path"] = labels.__dict__["_cf_path"]
+    return out

@@ -1,51 +1,67 @@
 """Fuzzy line dedup in DataFrame functions only.
 
 Lines are lower-cased and cut into words at ASCII characters that are neither
-letter nor digit; lines of equal words are one from the start.  A 64-bit SimHash
-is taken of each line's pairs of neighbouring words, with its ends as words, by
-summing the bits of all pair hashes.  The partial sums run before the shuffle,
-so a line that repeats a billion times is one row per task, and as repeats scale
-all sums alike, they leave the majority of each bit as it is.
-
-Lines meet in two ways.  Fingerprints at most 3 bits apart agree in one of four
-16-bit blocks, so they meet in an equi-join on (block, bits).  One changed word of
-ten already changes 12 bits, so lines also meet in ``VIEWS`` views: in each the
-least hash of their words and that of their pairs agree.  Of lines of the same
-length with a fifth of the words replaced that happens in 0.3 of the views.
-Links are kept where the edit similarity of the two lines, 1 - characters edited
-/ characters of the longer one, is at least ``SIMILARITY``; only texts of linked
-lines are fetched for this, through a filter of fixed size.  Each connected group
-keeps its first occurrence by (doc_id, position), and the others are cut from
-their documents.  Edits scattered over most words of a line leave it no words in
-common with its source, and such pairs are not found.
+letter nor digit; lines of equal words are one from the start.  The features of a
+line are its pairs of neighbouring words, with its ends as words; a line of at most
+``SHORT`` characters also has its runs of ``GRAM`` characters, as a changed word
+leaves too few pairs there.  One pass over the features sums up, for each line,
+
+* a 64-bit SimHash, from the sums of the bits of all feature hashes, and
+* ``2 * VIEWS`` least hashes, each of another permutation (``x xor c``).
+
+The partial sums run before the shuffle, so a line that repeats a billion times is
+one row per task, and as repeats scale all sums alike, they change neither.
+
+Lines meet in two ways.  Fingerprints at most ``RADIUS`` bits apart agree in two of
+four 16-bit blocks, so they meet in an equi-join on each of the six pairs of blocks.
+SimHash alone can't serve the similarity asked for: one changed word of ten already
+moves 12 bits.  So lines also meet in ``VIEWS`` views, in each of which two least
+hashes agree, and go on if ``ALIKE`` of all least hashes seem to agree.  Links are
+kept where the edit similarity of the two lines, 1 - characters edited / characters
+of the longer one, is at least ``SIMILARITY``; only texts of linked lines are
+fetched for this.  Each connected group keeps its first occurrence by (doc_id,
+position), and the others are cut from their documents.  Finding a pair is likely,
+not certain; edits scattered over most words of a line are missed.
 
 Cases: null and empty texts stay as they are; lines without words are neither
-matched nor removed; a null ``doc_id`` comes before all others; documents that
-agree in id and text count as one and are treated alike; other columns stay; an
-empty table gives an empty result.  Lines that differ but share a 64-bit hash
-would be taken as equal.
+matched nor removed; lines of any length are compared whole; a null ``doc_id``
+comes before all others; rows that agree in id and text are one document and are
+cut alike; other columns stay; an empty table gives an empty result.  Lines that
+differ but share a 64-bit hash would be taken as equal.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, popcount, shielded
+from .common import WORD, components, cut, drop, popcount, shielded
 
-RADIUS = 3
+RADIUS = 2
 SIMILARITY = 0.8
 BLOCKS = 4
-#: Words of 64 bits in the filter of linked lines: 512 KB whatever the input.
-FILTER_WORDS = 1 << 16
 #: ASCII that is in no word, but for the line feed; single spaces stay as they are.
 GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}|[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-VIEWS = 16
-#: Of 2 * VIEWS two-bit fields, those that agree in lines of at least SHORT characters that are to be compared.
-ALIKE, SHORT = 14, 80
-LOW = 0x5555555555555555
+VIEWS = 6
+LEAST = 2 * VIEWS
+#: Five bits of each least hash are kept, and of those so many agree in lines over SHORT that are to be compared.
+ALIKE = 4
+FIELDS = sum(1 << 5 * j for j in range(LEAST))
+#: Lines of at most SHORT characters are also told by their runs of GRAM characters.
+SHORT, GRAM = 40, 3
 #: Features that the 16-bit counters of a sum can count with a bit to spare.
 NARROW = (1 << 14) - 1
+#: Words of 64 bits in the filter of wanted lines: by their number, between these powers of two (8 MB at most).
+LEAST_WORDS, MOST_WORDS = 10, 20
+
+
+def flip(j: int) -> Column:
+    """The constant that permutes hashes for the j-th least hash."""
+    c = xxhash.xxh64_intdigest(bytes([j]))
+    return F.lit(c - (1 << 64) if c >> 63 else c)
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -59,25 +75,25 @@ def doc_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def word_pairs(lines: DataFrame) -> DataFrame:
-    """``(h, size, u, v)``: each pair of neighbouring words, with the line's ends as words."""
-    words, edge = F.split("line", " "), F.array(F.lit(""))
-    return lines.select("h", F.length("line").alias("size"), F.inline(F.arrays_zip(F.concat(edge, words).alias("u"), F.concat(words, edge).alias("v"))))
-
-
 def features(lines: DataFrame) -> DataFrame:
-    """``(h, x)``: the hash of each pair of neighbouring words."""
-    return word_pairs(lines).select("h", F.xxhash64("u", "v").alias("x"))
+    """``(h, short, size, x)``: the hash of each pair of neighbouring words, and of short lines each run of characters."""
+    words, edge = F.split("line", " "), F.array(F.lit(""))
+    pairs = F.inline(F.arrays_zip(F.concat(edge, words).alias("u"), F.concat(words, edge).alias("v")))
+    of_words = lines.select("h", F.length("line").alias("size"), pairs).select("h", F.lit(False).alias("short"), "size", F.xxhash64("u", "v").alias("x"))
+    held = F.concat(F.lit("\n"), "line", F.lit("\n"))
+    runs = F.explode(F.transform(F.sequence(F.lit(1), F.length(held) - GRAM + 1), lambda i: F.substring(held, i, F.lit(GRAM)))).alias("u")
+    of_runs = lines.where(F.length("line") <= SHORT).select("h", F.length("line").alias("size"), runs).select("h", F.lit(True).alias("short"), "size", F.xxhash64("u").alias("x"))
+    return of_words.unionByName(of_runs)
 
 
-def counted(features: DataFrame, fields: int) -> DataFrame:
-    """Sums over the features of each line, ``fields`` counters to a sum; null where one runs over.
+def bit_sums(fields: int) -> list[Column]:
+    """Sums of the bits of ``x``, ``fields`` counters to a sum; null where one runs over.
 
     Bit j is in field ``j div sums`` of sum ``j mod sums``.
     """
     sums = 64 // fields
     mask = sum(1 << (k * sums) for k in range(fields))
-    return features.groupBy("h").agg(F.count("*").alias("n"), *(F.try_sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(mask))).alias(f"b{j}") for j in range(sums)))
+    return [F.try_sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(mask))).alias(f"b{j}") for j in range(sums)]
 
 
 def majority_narrow() -> Column:
@@ -94,8 +110,9 @@ def majority_narrow() -> Column:
     return F.when(F.col("n") <= NARROW, fp)
 
 
-def majority_wide(counters: DataFrame) -> DataFrame:
+def majority_wide(found: DataFrame) -> DataFrame:
     """``(h, fp)`` from a sum for each bit."""
+    counters = found.groupBy("h").agg(F.count("*").alias("n"), *bit_sums(1))
     fp = F.lit(0).cast("long")
     for j in range(64):
         bit = (1 << j) - (1 << 64 if j == 63 else 0)
@@ -103,87 +120,100 @@ def majority_wide(counters: DataFrame) -> DataFrame:
     return counters.select("h", fp.alias("fp"))
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """``(h, fp)`` for each distinct line.
+def sketches(lines: DataFrame) -> DataFrame:
+    """``(h, short, size, fp, sketch, cells)`` of each distinct line, and of short ones a second row for their runs.
 
     Four counters share a sum.  Lines with more features than those can count,
     being long or repeated, are then counted once each from one copy of their
     text, with a sum for each bit.
     """
-    found = cut(counted(features(lines), 4).select("h", majority_narrow().alias("fp")), "prints")
-    wide = found.where("fp is null").select("h")
-    return found.where("fp is not null").unionByName(majority_wide(counted(features(texts_of(wide, lines)), 1)))
-
-
-def candidate_links(prints: DataFrame) -> DataFrame:
+    least = [F.min(F.col("x").bitwiseXOR(flip(j))).alias(f"m{j}") for j in range(LEAST)]
+    held = features(lines).groupBy("h", "short").agg(F.any_value("size").alias("size"), F.count("*").alias("n"), *bit_sums(4), *least)
+    sketch = F.lit(0).cast("long")
+    for j in range(LEAST):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(31)), 5 * j))
+    cells = F.array(*(F.xxhash64("short", F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(VIEWS)))
+    found = cut(held.select("h", "short", "size", F.when(~F.col("short"), majority_narrow()).alias("fp"), sketch.alias("sketch"), cells.alias("cells")), "sketches")
+    wide = found.where("not short and fp is null").select("h")
+    texts = cut(texts_of(wide, lines), "wide")
+    counted = cut(majority_wide(features(texts).where("not short")).withColumnRenamed("fp", "wide"), "counted")
+    drop(texts)
+    return found.join(counted, "h", "left").withColumn("fp", F.when(~F.col("short"), F.coalesce("fp", "wide"))).drop("wide")
+
+
+def block_links(held: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of lines whose fingerprints are at most RADIUS bits apart."""
     width = 64 // BLOCKS
-    keys = F.array(*(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(k << width) for k in range(BLOCKS)))
-    keyed = prints.select("h", "fp", F.explode(keys).alias("cell"))
+    block = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)]
+    ways = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
+    keys = F.array(*(sum((F.shiftleft(block[k], i * width) for i, k in enumerate(way)), F.lit(n << 2 * width)) for n, way in enumerate(ways)))
+    keyed = held.where("fp is not null").select("h", "fp", F.explode(keys).alias("cell"))
     l, r = keyed.alias("l"), keyed.alias("r")
     met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (popcount(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS))
     return met.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
 
 
-def views_of(lines: DataFrame) -> DataFrame:
-    """``(h, size, sketch, cells)`` for each distinct line: two bits of each least hash, and the views' keys."""
-    hashed = word_pairs(lines).select("h", "size", F.when(F.col("v") != "", F.xxhash64("v")).alias("word"), F.xxhash64("u", "v").alias("pair"))
-    words = [F.min(F.when(F.col("word").isNotNull(), F.hash("word", F.lit(j)))).alias(f"w{j}") for j in range(VIEWS)]
-    least = hashed.groupBy("h").agg(F.any_value("size").alias("size"), *words, *(F.min(F.hash("pair", F.lit(j))).alias(f"p{j}") for j in range(VIEWS)))
-    sketch = F.lit(0).cast("long")
-    for k, name in enumerate(f"{c}{j}" for c in "wp" for j in range(VIEWS)):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(name).cast("long").bitwiseAND(F.lit(3)), 2 * k))
-    return least.select("h", "size", sketch.alias("sketch"), F.array(*(F.xxhash64(F.lit(j), f"w{j}", f"p{j}") for j in range(VIEWS))).alias("cells"))
-
-
-def view_links(views: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a < b`` of lines that meet in a view and whose sizes and sketches allow the similarity."""
-    keyed = views.select("h", "size", "sketch", F.explode("cells").alias("cell"))
+def view_links(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of lines that meet in a view and whose sizes and least hashes allow the similarity."""
+    keyed = held.select("h", "size", "sketch", F.explode("cells").alias("cell"))
     l, r = keyed.alias("l"), keyed.alias("r")
     apart = F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))
-    differ = popcount(apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(LOW)))
+    any_bit = apart
+    for k in range(1, 5):
+        any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(apart, k))
     longer = F.greatest("l.size", "r.size")
-    alike = (differ <= 2 * VIEWS - ALIKE) | (longer < SHORT)
+    alike = (popcount(any_bit.bitwiseAND(F.lit(FIELDS))) <= LEAST - ALIKE) | (longer <= SHORT)
     fits = F.least("l.size", "r.size") >= similarity * longer - 1e-9
     met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & fits & alike)
     return met.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
 
 
 def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(h, line)`` of the lines whose ``h`` is in ``wanted``.
+    """``(h, line)`` of the lines whose ``h`` is in ``wanted``, and of few others.
 
-    A filter of FILTER_WORDS words, fixed in size and made by an aggregate, lets
-    few other lines through to the join.
+    A filter, made by an aggregate and sized by the number of wanted lines within
+    fixed bounds, keeps most other lines from the shuffle; copies are summed up
+    before it, so a hot line is one row per task.
     """
-    slot, bit = F.pmod(F.col("h"), F.lit(FILTER_WORDS)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(63)).cast("int")
+    words = 1 << min(MOST_WORDS, max(LEAST_WORDS, (wanted.count() // 8).bit_length()))
+    slot, bit = F.pmod(F.col("h"), F.lit(words)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(63)).cast("int")
     bits = wanted.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
-    none = wanted.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bits"))
-    words = bits.unionByName(none).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-    array = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda w: w["bits"]).alias("a"))
+    none = wanted.sparkSession.range(words).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    filled = bits.unionByName(none).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    array = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda w: w["bits"]).alias("a"))
     held = cut(array, "filter").scalar()
     passed = lines.where(F.call_function("shiftright", F.element_at(held, slot.cast("int") + 1), bit).bitwiseAND(F.lit(1)) == 1)
-    return passed.groupBy("h", "line").agg(F.lit(1)).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    return passed.groupBy("h").agg(F.min("line").alias("line"))
 
 
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The links whose lines have the edit similarity asked for, counted in characters."""
-    t = cut(texts.select("h", F.col("line").alias("s")), "texts")
-    x, y = t.select(F.col("h").alias("a"), F.col("s").alias("x")), t.select(F.col("h").alias("b"), F.col("s").alias("y"))
+    x, y = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     longer = F.greatest(F.length("x"), F.length("y"))
     most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
     pairs = links.join(x, "a").join(y, "b").withColumn("most", most).where(longer - F.least(F.length("x"), F.length("y")) <= F.col("most"))
     return pairs.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: the pairs of lines found to have the edit similarity; ``lines`` are as from ``lines_of``."""
+    held = cut(sketches(lines), "held")
+    near, alike = cut(block_links(held), "near"), cut(view_links(held, similarity), "alike")
+    links = cut(near.unionByName(alike).distinct(), "links")
+    drop(held, near, alike)
+    texts = cut(texts_of(links.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines), "texts")
+    out = cut(verified(links, texts, similarity), "similar")
+    drop(links, texts)
+    return out
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, doc, gone)``: for each document with repeats the positions of the lines to cut."""
     lines = cut(lines_of(docs, doc_id, text), "lines")
-    at = lines.select("doc_id", "doc", "line_no", "h")
-    prints = cut(simhashes(lines), "prints")
-    views = cut(views_of(lines), "views")
-    links = cut(candidate_links(prints).unionByName(view_links(views, similarity)).distinct(), "links")
-    wanted = links.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    groups = components(verified(links, texts_of(wanted, lines), similarity))
+    pairs = similar_lines(lines, similarity)
+    groups = components(pairs)
+    at = cut(lines.select("doc_id", "doc", "line_no", "h"), "at")
+    drop(lines, pairs)
     # the first occurrence and number of each line, then of each group: hot lines are one row per task before the shuffle
     each = at.groupBy("h").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
     each = each.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n")
@@ -192,7 +222,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     again = cut(each.join(whole.select("root", "kept"), "root").select("h", "kept"), "again")
     here = F.struct("doc_id", "doc", "line_no")
     gone = at.join(again, "h").where(~here.eqNullSafe(F.col("kept")))
-    return gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("gone"))
+    out = cut(gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("gone")), "gone")
+    drop(at, each, again, groups)
+    return out
 
 
 def flags_of(positions: Column) -> Column:
@@ -205,7 +237,7 @@ def flags_of(positions: Column) -> Column:
 def with_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``__cf_gone``, whether each line is to be cut, and their number, or nulls."""
     found = repeats(docs, doc_id, text, similarity)
-    found = cut(found.select(F.col("doc_id").alias("__cf_id"), F.col("doc").alias("__cf_doc"), F.size("gone").alias("__cf_n"), flags_of(F.col("gone")).alias("__cf_gone")), "gone")
+    found = found.select(F.col("doc_id").alias("__cf_id"), F.col("doc").alias("__cf_doc"), F.size("gone").alias("__cf_n"), flags_of(F.col("gone")).alias("__cf_gone"))
     met = docs.withColumn("__cf_key", doc_key(doc_id, text)).join(found, (F.col("__cf_key") == F.col("__cf_doc")) & F.col(doc_id).eqNullSafe(F.col("__cf_id")), "left")
     return met.drop("__cf_id", "__cf_doc", "__cf_key")
 
