@@ -1,23 +1,24 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
 Each document of a source expects ``target / source size`` copies.  Documents
-stand in the order of a hash of their id; the prefix sum of expected copies,
-moved by one random offset per source, crosses some whole numbers at each
-document, and that many copies are emitted.  The offset is the one of
-``DRAWS`` random ones whose words come nearest to the target, which matters for
-sources with few or very unequal documents.
+stand in order of size class and then of a hash of their id; the prefix sum of
+expected copies, moved by one random offset per source, crosses some whole numbers
+at each document, and that many copies are emitted.  As sizes rise along the order,
+every size class gets its share whatever the offset, so the words taken come near
+the target even in sources with few or very unequal documents.
 
 The prefix sum is made in two levels so that a hot source is never one task:
-documents are dealt into 4096 blocks of the hash, the block counts are summed up
-along the order, and rows are numbered in their block.  Sums are fixed-point
-whole numbers, so no document crosses more boundaries than its expected copies,
-rounded up, and reruns agree.
-
-Cases: a null or empty text has size 0; a null source is a source of its own,
-last in order; a source of size 0 has target 0 and no copies; rows that agree in
-id are told apart by size and a hash of the text, and equal rows are
-interchangeable; other columns stay, but those with the name of a result column
-are replaced; an empty table gives an empty result.
+documents are dealt into blocks of a size class and 256 parts of the hash, the
+block counts are summed up along the order, and rows are numbered in their block.
+Texts stay out of this: narrow rows are numbered, and the copies are joined back.
+Sums are fixed-point whole numbers, so no document crosses more boundaries than its
+expected copies, rounded up, and reruns agree.
+
+Cases: a null or empty text has size 0; texts of any length are counted whole; a null
+source is a source of its own, last in order; a source of size 0 has target 0 and no
+copies; rows that agree in id, source and text are one document, of which all their
+copies are made; other columns stay, but those with the name of a result column are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, drop
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 ONE = 1 << 40
 SEED = "mix-1"
-DRAWS = 32
+#: Hexadecimal digits of the hash that deal the rows of a size class into 256 blocks.
+DIGITS = 2
 
 
 def size_of(text: str) -> Column:
@@ -62,17 +64,22 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
-def offset(key: Column, draw: int, seed: str) -> Column:
-    """A number below ONE that depends on the source, the draw and the seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{draw}:"), key)), 1, 10), 16, 10).cast("long")
+def offset(key: Column, seed: str) -> Column:
+    """A number below ONE that depends on the source and the seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 10), 16, 10).cast("long")
 
 
-def ranked(sized: DataFrame, doc_id: str, source: str, size: str, tie: Column | None) -> DataFrame:
-    """Add the block ``(__cf_key, __cf_block)`` of each row and its number ``__cf_i`` in it."""
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    d = sized.withColumns({"__cf_key": _key(source), "__cf_hash": digest, "__cf_block": F.substring(digest, 1, 3)})
-    order = ["__cf_hash", F.col(doc_id), F.col(size)] + ([tie] if tie is not None else [])
-    return d.withColumn("__cf_i", F.row_number().over(Window.partitionBy("__cf_key", "__cf_block").orderBy(*order))).drop("__cf_hash")
+def size_class(size: str) -> Column:
+    """Log-linear class of a size, as text in order: exact below 16, then 8 classes for each doubling."""
+    shift = F.greatest(F.length(F.bin(size)) - 4, F.lit(0))
+    return F.lpad((F.call_function("shiftright", F.col(size), shift) + 8 * shift).cast("string"), 3, "0")
+
+
+def ranked(sized: DataFrame) -> DataFrame:
+    """Add the block ``(key, block)`` of each row and its number ``i`` in it."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    d = sized.withColumns({"key": _key("source"), "hash": digest, "block": F.concat(size_class("size"), F.substring(digest, 1, DIGITS))})
+    return d.withColumn("i", F.row_number().over(Window.partitionBy("key", "block").orderBy("hash", "doc_id", "size", "tie"))).drop("hash")
 
 
 def crossings(i: str, rate: str) -> tuple[Column, Column]:
@@ -82,54 +89,42 @@ def crossings(i: str, rate: str) -> tuple[Column, Column]:
     return whole, F.expr(f"cast(({product}) % cast({ONE} as decimal(20,0)) as bigint)")
 
 
-def with_steps(d: DataFrame, plan: DataFrame) -> DataFrame:
-    """Join the plan and add whole parts and rests before (``_w0``, ``_r0``) and after each row."""
-    d = d.join(plan, ["__cf_key", "__cf_block"])
-    w0, r0 = crossings("__cf_before + __cf_i - 1", "__cf_rate")
-    w1, r1 = crossings("__cf_before + __cf_i", "__cf_rate")
-    return d.withColumns({"__cf_w0": w0, "__cf_r0": r0, "__cf_w1": w1, "__cf_r1": r1})
-
-
-def copies(shift: Column) -> Column:
-    up = lambda rest: (F.col(rest) + shift >= ONE).cast("long")
-    return F.col("__cf_w1") - F.col("__cf_w0") + up("__cf_r1") - up("__cf_r0")
-
+def with_copies(sized: DataFrame, seed: str = SEED) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to narrow rows of ``doc_id``, ``source``, ``size`` and ``tie``."""
+    t = targets(sized).select(
+        _key("source").alias("key"), "source_size", "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long").alias("rate"),
+    )
+    rows = ranked(sized)
+    run = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = rows.groupBy("key", "block").agg(F.count("*").alias("n"))
+    plan = cut(counts.withColumn("before", F.sum("n").over(run) - F.col("n")).drop("n").join(t, "key"), "plan")
+    w0, r0 = crossings("before + i - 1", "rate")
+    w1, r1 = crossings("before + i", "rate")
+    d = rows.join(plan, ["key", "block"]).withColumns({"w0": w0, "r0": r0, "w1": w1, "r1": r1, "shift": offset(F.col("key"), seed)})
+    up = lambda rest: (F.col(rest) + F.col("shift") >= ONE).cast("long")
+    return d.withColumn("copies", F.col("w1") - F.col("w0") + up("r1") - up("r0")).select(*sized.columns, "source_size", "target", "copies")
 
-def with_copies(sized: DataFrame, narrow: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows with a size.
 
-    ``narrow`` may give the same rows without their texts, to plan from.
-    """
-    rows = ranked(sized, doc_id, source, size, tie)
-    small = rows if narrow is None else ranked(narrow, doc_id, source, size, tie)
-    t = targets(sized if narrow is None else narrow, source, size)
-    t = t.select(
-        _key("source").alias("__cf_key"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long").alias("__cf_rate"),
-    )
-    run = Window.partitionBy("__cf_key").orderBy("__cf_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = small.groupBy("__cf_key", "__cf_block").agg(F.count("*").alias("__cf_n"))
-    plan = cut(counts.withColumn("__cf_before", F.sum("__cf_n").over(run) - F.col("__cf_n")).drop("__cf_n").join(t, "__cf_key"), "plan")
-    tries = F.array(*(offset(F.col("__cf_key"), k, seed) for k in range(DRAWS)))
-    sums = with_steps(small, plan).groupBy("__cf_key", "target").agg(*(F.sum(F.col(size) * copies(offset(F.col("__cf_key"), k, seed))).alias(f"_s{k}") for k in range(DRAWS)))
-    gaps = F.array(*(F.struct(F.abs(F.col(f"_s{k}") - F.col("target")).alias("gap"), F.lit(k).alias("draw")) for k in range(DRAWS)))
-    chosen = sums.select("__cf_key", F.element_at(tries, F.array_min(gaps)["draw"] + 1).alias("__cf_offset"))
-    plan = cut(plan.join(chosen, "__cf_key"), "plan")
-    d = with_steps(rows, plan).withColumn("copies", copies(F.col("__cf_offset")))
-    return d.drop("__cf_key", "__cf_block", "__cf_i", "__cf_before", "__cf_rate", "__cf_offset", "__cf_w0", "__cf_r0", "__cf_w1", "__cf_r1")
+def narrow_rows(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixture itself: every document once per copy, with ``copy`` counting from 0."""
     docs = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "copy") if c in docs.columns))
-    docs = docs.withColumns({"size": size_of(text), "__cf_tie": F.xxhash64(text)})
-    narrow = cut(docs.select(doc_id, source, "size", "__cf_tie"), "sizes")
-    d = with_copies(docs, narrow, doc_id, source, tie=F.col("__cf_tie"), seed=seed).where("copies > 0").drop("__cf_tie")
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    narrow = cut(narrow_rows(docs, doc_id, text, source), "sizes")
+    every = with_copies(narrow, seed).groupBy("doc_id", "source", "tie", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    made = cut(every.where("copies > 0").withColumnsRenamed({"doc_id": "__cf_id", "source": "__cf_source", "tie": "__cf_tie", "n": "__cf_n"}), "copies")
+    drop(narrow)
+    own = (F.xxhash64(text) == F.col("__cf_tie")) & F.col(doc_id).eqNullSafe(F.col("__cf_id")) & F.col(source).eqNullSafe(F.col("__cf_source"))
+    met = docs.join(made, own)
+    if not made.where("__cf_n > 1").isEmpty():
+        met = met.where("__cf_n = 1").unionByName(met.where("__cf_n > 1").dropDuplicates(["__cf_id", "__cf_source", "__cf_tie"]))
+    return met.drop("__cf_id", "__cf_source", "__cf_tie", "__cf_n").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 
 def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every document, without texts."""
-    narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie")), "sizes")
-    d = with_copies(narrow, tie=F.col("tie"), seed=seed)
+    d = with_copies(cut(narrow_rows(docs, doc_id, text, source), "sizes"), seed)
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

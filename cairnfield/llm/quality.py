@@ -6,17 +6,24 @@ quantile sketch: a histogram over log-linear buckets whose width is at most 1/32
 of the value.  Such sketches merge by adding counts, so the sketch of a language
 or of the corpus is the sum of those of its sources, the result does not depend
 on how rows are dealt out, and a hot source is one row per bucket after the
-partial sums.  A fence is read from a sketch,
-
-    upper = Q3 + 3 (Q3 - Q1) + slack        lower = Q1 - 3 (Q3 - Q1) - slack
-
-and a group's fence is drawn towards that of its language, and the language's
-towards the corpus's, by ``PRIOR`` pseudo-documents, so that small groups need
-no special case.  The fences are joined back and documents outside are rejected.
-
-Cases: a null or empty text has no words and fails the base rules; null ``lang``
-or ``source`` is a group of its own; repeated rows are measured and judged row
-by row; other columns stay; an empty table gives an empty result.
+partial sums.  Fences are read from a group's sketches alone,
+
+    upper = Q3 + 3 spread        lower = Q1 - 3 spread
+    spread = the larger of Q3 - Q1 and the step
+
+where the step is what one event (a symbol, a repeated line, a letter) adds to the
+group's median document, by the sketches of word and line counts; it counts where
+most documents have none and the quartiles are equal.  A group's fence is drawn
+towards that of its language, and the language's towards the corpus's, by ``PRIOR``
+pseudo-documents, so that small groups need no special case; and it may not pass the
+outer fence (6 spreads) of the wider group, so that a source that is mostly junk does
+not set its own standard.  The fences are joined back and documents outside are
+rejected.
+
+Cases: a null or empty text has no words and fails the base rules; texts of any
+length are measured whole; null ``lang`` or ``source`` is a group of its own;
+repeated rows are measured and judged row by row; other columns stay; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shielded, words_of
+from .common import cut, drop, shielded, words_of
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 MIN_WORDS = 50
 #: Pseudo-documents by which a group's fences are drawn towards the wider group's.
 PRIOR = 50
-#: Fences never come nearer to the quartiles than this, in thousandths.
-SLACK = {"symbol": 50, "dup": 400, "repeat": 350, "length": 1500}
 SPREADS = 3
+#: What one event adds to a document, in thousandths of its words or lines: a repeated line makes two lines' words repeat.
+STEPS = {"symbol": (1000, "words"), "dup": (1000, "lines"), "repeat": (2000, "lines"), "length": (1000, "words")}
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 
@@ -73,7 +80,8 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     def measures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=MEASURES.names, dtype="int64")
 
-    m = df.withColumn("__cf_m", measures(F.col(text))).select("*", "__cf_m.*").drop("__cf_m")
+    # else the optimiser would measure a text once for each filter and column that uses it
+    m = df.withColumn("__cf_m", measures.asNondeterministic()(F.col(text))).select("*", "__cf_m.*").drop("__cf_m")
     return m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -101,7 +109,8 @@ def key(c: str) -> Column:
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``(lang_key, source_key, measure, bucket, n)`` of the documents that pass the base rules."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in shares().items()))
+    held = {**shares(), "words": F.col("n_words"), "lines": F.col("n_lines")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in held.items()))
     rows = measured.where("not base_failed").select(key(lang).alias("lang_key"), key(source).alias("source_key"), F.inline(pairs))
     return rows.where("v is not null").groupBy("lang_key", "source_key", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -112,27 +121,40 @@ def merge(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """``(*by, measure, total, lower, upper)`` of each sketch."""
+    """One row per group: ``total`` and for each judged measure ``lower``, ``upper`` and the outer fences."""
     w = [*by, "measure"]
     run = sketch.withColumn("upto", F.sum("n").over(Window.partitionBy(*w).orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy(*w)))
-    q = lambda part: F.min(F.when(4 * F.col("upto") >= part * F.col("total"), lowest(F.col("bucket"))))
-    slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))[F.col("measure")]
-    got = run.groupBy(*w).agg(F.max("total").alias("total"), q(1).alias("q1"), q(3).alias("q3"))
-    wide = SPREADS * (F.col("q3") - F.col("q1")) + slack
-    return got.select(*w, "total", (F.col("q1") - wide).cast("double").alias("lower"), (F.col("q3") + wide).cast("double").alias("upper"))
+    q = lambda k, part: F.min(F.when((F.col("measure") == k) & (4 * F.col("upto") >= part * F.col("total")), lowest(F.col("bucket")))).cast("double").alias(f"q{part}_{k}")
+    quartiles = [q(k, part) for k in STEPS for part in (1, 3)] + [q("words", 2), q("lines", 2)]
+    got = run.groupBy(*by).agg(F.max("total").cast("double").alias("total"), *quartiles)
+    out = []
+    for k, (unit, per) in STEPS.items():
+        wide = SPREADS * F.greatest(F.col(f"q3_{k}") - F.col(f"q1_{k}"), F.lit(float(unit)) / F.greatest(F.col(f"q2_{per}"), F.lit(1.0)))
+        out += [(F.col(f"q3_{k}") + wide).alias(f"upper_{k}"), (F.col(f"q1_{k}") - wide).alias(f"lower_{k}")]
+        out += [(F.col(f"q3_{k}") + 2 * wide).alias(f"outer_upper_{k}"), (F.col(f"q1_{k}") - 2 * wide).alias(f"outer_lower_{k}")]
+    return got.where("total is not null").select(*by, "total", *out)
+
+
+def drawn(near: DataFrame, far: DataFrame, *by: str) -> DataFrame:
+    """Fences of groups, drawn towards those of the wider groups and kept within their outer ones."""
+    far = far.select(*by, *(F.col(c).alias(f"far_{c}") for c in far.columns if c not in (*by, "total")))
+    met = near.join(far, list(by)) if by else near.crossJoin(far)  # the corpus is one row
+    out = []
+    for k in STEPS:
+        for side, most in (("upper", F.least), ("lower", F.greatest)):
+            pulled = (F.col("total") * F.col(f"{side}_{k}") + PRIOR * F.col(f"far_{side}_{k}")) / (F.col("total") + PRIOR)
+            out += [most(pulled, F.col(f"far_outer_{side}_{k}")).alias(f"{side}_{k}"), f"outer_{side}_{k}"]
+    return met.select(*(c for c in near.columns if c.endswith("_key")), *out)
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per (lang, source) with ``lower_<measure>`` and ``upper_<measure>``."""
     s = cut(sketches(measured, lang, source), "sketch")
-    whole = fences(merge(s)).select("measure", F.col("lower").alias("l0"), F.col("upper").alias("u0"))
-    by_lang = fences(merge(s, "lang_key"), "lang_key").join(whole, "measure")
-    pull = lambda near, far, n: (F.col(n) * F.col(near) + PRIOR * F.col(far)) / (F.col(n) + PRIOR)
-    by_lang = by_lang.select("lang_key", "measure", pull("lower", "l0", "total").alias("l1"), pull("upper", "u0", "total").alias("u1"))
-    own = fences(s, "lang_key", "source_key").join(by_lang, ["lang_key", "measure"])
-    own = own.select("lang_key", "source_key", "measure", pull("lower", "l1", "total").alias("lower"), pull("upper", "u1", "total").alias("upper"))
-    one = lambda k, side: F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}")
-    return cut(own.groupBy("lang_key", "source_key").agg(*(one(k, side) for k in SLACK for side in ("lower", "upper"))), "fences")
+    by_lang = drawn(fences(merge(s, "lang_key"), "lang_key"), fences(merge(s)))
+    own = drawn(fences(s, "lang_key", "source_key"), by_lang, "lang_key")
+    out = cut(own.select("lang_key", "source_key", *(f"{side}_{k}" for k in STEPS for side in ("lower", "upper"))), "fences")
+    drop(s)
+    return out
 
 
 def judge(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
