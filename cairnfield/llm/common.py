@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,3 +162,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     out = labels.select("node", F.col("to").alias("root"))
     out.__dict__["_cf_path"] = labels.__dict__["_cf_path"]
     return out
+
+
+#: Rounds in which each node is checked against one other, before all pairs left are.
+STARS = 2
+
+
+def connected(links: DataFrame, check: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
+    """``(node, root)``: components of those pairs ``a < b`` of ``links`` that ``check`` lets through.
+
+    Whether a pair holds matters only while its ends are in different components.
+    So each node is first checked against the least of those that it met, and pairs
+    within the components that this makes need no check any more: a crowd of nodes
+    that are all alike costs as many checks as it has nodes.  The result is that of
+    checking all pairs.  ``links`` is a table of ``cut`` and is deleted.
+    """
+    found, groups = [], None
+    for k in range(stars + 1):
+        if links.isEmpty() and found:
+            break
+        tried = links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < stars else links
+        found.append(cut(check(tried), "holds"))
+        groups, old = components(reduce(DataFrame.unionByName, found)), groups
+        drop(old)
+        if k < stars:
+            x, y = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            apart = links.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            links, old = cut(apart.join(tried, ["a", "b"], "left_anti"), "links"), links
+            drop(old)
+    drop(links, *found)
+    return groups

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, drop, popcount, shielded
+from .common import WORD, connected, cut, drop, popcount, shielded
 
 RADIUS = 2
 SIMILARITY = 0.8
@@ -137,8 +137,9 @@ def sketches(lines: DataFrame) -> DataFrame:
     wide = found.where("not short and fp is null").select("h")
     texts = cut(texts_of(wide, lines), "wide")
     counted = cut(majority_wide(features(texts).where("not short")).withColumnRenamed("fp", "wide"), "counted")
-    drop(texts)
-    return found.join(counted, "h", "left").withColumn("fp", F.when(~F.col("short"), F.coalesce("fp", "wide"))).drop("wide")
+    out = cut(found.join(counted, "h", "left").withColumn("fp", F.when(~F.col("short"), F.coalesce("fp", "wide"))).drop("wide"), "held")
+    drop(texts, found, counted)
+    return out
 
 
 def block_links(held: DataFrame) -> DataFrame:
@@ -195,25 +196,24 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)``: the pairs of lines found to have the edit similarity; ``lines`` are as from ``lines_of``."""
-    held = cut(sketches(lines), "held")
+def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, root)``: the connected groups of lines with the edit similarity; ``lines`` are as from ``lines_of``."""
+    held = sketches(lines)
     near, alike = cut(block_links(held), "near"), cut(view_links(held, similarity), "alike")
     links = cut(near.unionByName(alike).distinct(), "links")
     drop(held, near, alike)
     texts = cut(texts_of(links.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines), "texts")
-    out = cut(verified(links, texts, similarity), "similar")
-    drop(links, texts)
-    return out
+    groups = connected(links, lambda pairs: verified(pairs, texts, similarity))
+    drop(texts)
+    return groups
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, doc, gone)``: for each document with repeats the positions of the lines to cut."""
     lines = cut(lines_of(docs, doc_id, text), "lines")
-    pairs = similar_lines(lines, similarity)
-    groups = components(pairs)
+    groups = groups_of(lines, similarity)
     at = cut(lines.select("doc_id", "doc", "line_no", "h"), "at")
-    drop(lines, pairs)
+    drop(lines)
     # the first occurrence and number of each line, then of each group: hot lines are one row per task before the shuffle
     each = at.groupBy("h").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
     each = each.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n")

@@ -27,14 +27,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, popcount, words_of
+from .common import components, cut, drop, popcount, words_of
 
-#: Shingles per block of counting: bounds memory for very long texts.
+#: Hashes per block of counting: bounds memory for very long texts.
 CHUNK = 1 << 15
 LOW = 0x5555555555555555
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half the hashes have."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + CHUNK], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: str | None, k: int = 3) -> int:
     """Unsigned SimHash of a text: lower-cased A-Z, ``k``-word shingles with repeats, XXH64 seed 42."""
     words = [w.lower() for w in words_of(text)]
@@ -43,13 +52,8 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
         return 0
     if n < 1:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    counts = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        part = words[at : min(n, at + CHUNK) + k - 1]
-        hashes = np.fromiter((digest(b" ".join(t), 42) for t in zip(*(part[i:] for i in range(k)))), dtype="<u8", count=len(part) - k + 1)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(b" ".join(t), 42) for t in zip(*(words[i:] for i in range(k)))), dtype="<u8", count=n))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", k: int = 3, name: str = "fp") -> DataFrame:
@@ -106,10 +110,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fps = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", k).select("doc_id", "fp"), "fps")
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    root = components(links(distinct))
+    rooted = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fp", "component_id"), "named")
+    drop(root, distinct)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
