@@ -12,16 +12,19 @@ leaves too few pairs there.  One pass over the features sums up, for each line,
 The partial sums run before the shuffle, so a line that repeats a billion times is
 one row per task, and as repeats scale all sums alike, they change neither.
 
-Lines meet in two ways.  Fingerprints at most ``RADIUS`` bits apart agree in two of
-four 16-bit blocks, so they meet in an equi-join on each of the six pairs of blocks.
-SimHash alone can't serve the similarity asked for: one changed word of ten already
-moves 12 bits.  So lines also meet in ``VIEWS`` views, in each of which two least
-hashes agree, and go on if ``ALIKE`` of all least hashes seem to agree.  Links are
-kept where the edit similarity of the two lines, 1 - characters edited / characters
-of the longer one, is at least ``SIMILARITY``; only texts of linked lines are
-fetched for this.  Each connected group keeps its first occurrence by (doc_id,
-position), and the others are cut from their documents.  Finding a pair is likely,
-not certain; edits scattered over most words of a line are missed.
+Lines meet in two ways.  Fingerprints at most ``RADIUS`` bit apart agree in two of
+three 21-bit blocks, so they meet in each pair of blocks.  SimHash alone can't serve
+the similarity asked for: one changed word of ten already moves 12 bits.  So lines
+also meet in ``VIEWS`` views, in each of which two least hashes agree, and go on if
+``ALIKE`` of all least hashes agree and the fingerprints are at most ``NEAR`` bits
+apart.  Lines that meet are not paired with each other at once: in each cell all are
+held against one of them, and only cells whose lines are still in different groups
+after that are looked at pair by pair.  Links are kept where the edit similarity of
+the two lines, 1 - characters edited / characters of the longer one, is at least
+``SIMILARITY``; only texts of linked lines are fetched for this.  Each connected
+group keeps its first occurrence by (doc_id, position), and the others are cut from
+their documents.  Finding a pair is likely, not certain; edits scattered over most
+words of a line are missed.
 
 Cases: null and empty texts stay as they are; lines without words are neither
 matched nor removed; lines of any length are compared whole; a null ``doc_id``
@@ -32,23 +35,26 @@ differ but share a 64-bit hash would be taken as equal.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, cut, drop, popcount, shielded
+from .common import WORD, components, cut, drop, popcount, shielded
 
-RADIUS = 2
+RADIUS = 1
 SIMILARITY = 0.8
-BLOCKS = 4
+BLOCKS = 3
 #: ASCII that is in no word, but for the line feed; single spaces stay as they are.
 GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}|[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 VIEWS = 6
 LEAST = 2 * VIEWS
 #: Five bits of each least hash are kept, and of those so many agree in lines over SHORT that are to be compared.
-ALIKE = 4
+ALIKE = 5
+#: Bits that the fingerprints of such lines may differ in; in unrelated lines 32 do.
+NEAR = 23
 FIELDS = sum(1 << 5 * j for j in range(LEAST))
 #: Lines of at most SHORT characters are also told by their runs of GRAM characters.
 SHORT, GRAM = 40, 3
@@ -142,31 +148,43 @@ def sketches(lines: DataFrame) -> DataFrame:
     return out
 
 
-def block_links(held: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of lines whose fingerprints are at most RADIUS bits apart."""
+def meetings(held: DataFrame) -> DataFrame:
+    """``(cell, h, size, sketch, fp)``: the lines of each cell that more than one line is in."""
     width = 64 // BLOCKS
     block = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)]
     ways = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
     keys = F.array(*(sum((F.shiftleft(block[k], i * width) for i, k in enumerate(way)), F.lit(n << 2 * width)) for n, way in enumerate(ways)))
-    keyed = held.where("fp is not null").select("h", "fp", F.explode(keys).alias("cell"))
-    l, r = keyed.alias("l"), keyed.alias("r")
-    met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (popcount(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS))
-    return met.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
+    every = F.when(F.col("short"), F.col("cells")).otherwise(F.concat("cells", keys))
+    rows = held.select("h", "size", "sketch", "fp", F.explode(every).alias("cell"))
+    crowded = held.select("h", F.explode(every).alias("cell")).groupBy("cell").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("cell")
+    return rows.join(crowded, "cell")
 
 
-def view_links(held: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a < b`` of lines that meet in a view and whose sizes and least hashes allow the similarity."""
-    keyed = held.select("h", "size", "sketch", F.explode("cells").alias("cell"))
-    l, r = keyed.alias("l"), keyed.alias("r")
-    apart = F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))
+def may_be_alike(l: str, r: str, similarity: float) -> Column:
+    """Whether sizes, least hashes and fingerprints allow the similarity."""
+    apart = F.col(f"{l}.sketch").bitwiseXOR(F.col(f"{r}.sketch"))
     any_bit = apart
     for k in range(1, 5):
         any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(apart, k))
-    longer = F.greatest("l.size", "r.size")
-    alike = (popcount(any_bit.bitwiseAND(F.lit(FIELDS))) <= LEAST - ALIKE) | (longer <= SHORT)
-    fits = F.least("l.size", "r.size") >= similarity * longer - 1e-9
-    met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & fits & alike)
-    return met.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
+    differ, bits = popcount(any_bit.bitwiseAND(F.lit(FIELDS))), popcount(F.col(f"{l}.fp").bitwiseXOR(F.col(f"{r}.fp")))
+    longer = F.greatest(f"{l}.size", f"{r}.size")
+    fits = F.least(f"{l}.size", f"{r}.size") >= similarity * longer - 1e-9
+    return fits & ((longer <= SHORT) | (bits <= RADIUS) | ((differ <= LEAST - ALIKE) & (bits <= NEAR)))
+
+
+def star_links(met: DataFrame, end: str, similarity: float) -> DataFrame:
+    """Pairs ``a < b``: all lines of a cell with its least or its greatest one."""
+    ends = met.groupBy("cell").agg((F.min if end == "least" else F.max)("h").alias("h"))
+    l, r = met.join(ends, ["cell", "h"]).alias("l"), met.alias("r")
+    pairs = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") != F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
+    return pairs.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b")).distinct()
+
+
+def other_links(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b``: all lines of a cell that are in different groups."""
+    l, r = met.alias("l"), met.alias("r")
+    pairs = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
+    return pairs.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
 
 
 def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -199,12 +217,30 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)``: the connected groups of lines with the edit similarity; ``lines`` are as from ``lines_of``."""
     held = sketches(lines)
-    near, alike = cut(block_links(held), "near"), cut(view_links(held, similarity), "alike")
-    links = cut(near.unionByName(alike).distinct(), "links")
-    drop(held, near, alike)
-    texts = cut(texts_of(links.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines), "texts")
-    groups = connected(links, lambda pairs: verified(pairs, texts, similarity))
-    drop(texts)
+    met = cut(meetings(held).withColumn("root", F.col("h")), "met")
+    texts = cut(texts_of(met.select("h").distinct(), lines), "texts")
+    drop(held)
+    found, tried, groups = [], [], None
+    for k, links_of in enumerate((lambda m: star_links(m, "least", similarity), lambda m: star_links(m, "most", similarity), lambda m: other_links(m, similarity))):
+        links = links_of(met)
+        for t in tried:
+            links = links.join(t, ["a", "b"], "left_anti")
+        links = cut(links, "links")
+        found.append(cut(verified(links, texts, similarity), "holds"))
+        tried.append(links)
+        if k and found[-1].isEmpty():
+            continue
+        groups, old = components(reduce(DataFrame.unionByName, found)), groups
+        drop(old)
+        if k == 2:
+            break
+        # cells that still hold different groups
+        now = met.drop("root").join(groups.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+        mixed = now.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("cell")
+        left = cut(now.join(mixed, "cell"), "met")
+        drop(met)
+        met = left
+    drop(met, texts, *found, *tried)
     return groups
 
 
