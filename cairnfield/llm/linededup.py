@@ -20,8 +20,9 @@ also meet in ``VIEWS`` views, in each of which two least hashes agree, and go on
 apart.  Lines that meet are not paired with each other at once: in each cell all are
 held against one of them, and only cells whose lines are still in different groups
 after that are looked at pair by pair.  Links are kept where the edit similarity of
-the two lines, 1 - characters edited / characters of the longer one, is at least
-``SIMILARITY``; only texts of linked lines are fetched for this.  Each connected
+the two lines, 1 - edits / length of the longer one, is at least ``SIMILARITY``, in
+characters up to ``LONG`` of them and in words beyond, as the cost grows with the
+square of the length; only texts of linked lines are fetched for this.  Each connected
 group keeps its first occurrence by (doc_id, position), and the others are cut from
 their documents.  Finding a pair is likely, not certain; edits scattered over most
 words of a line are missed.
@@ -58,6 +59,8 @@ NEAR = 23
 FIELDS = sum(1 << 5 * j for j in range(LEAST))
 #: Lines of at most SHORT characters are also told by their runs of GRAM characters.
 SHORT, GRAM = 40, 3
+#: Edits of lines longer than LONG characters are counted in words.
+LONG = 1000
 #: Features that the 16-bit counters of a sum can count with a bit to spare.
 NARROW = (1 << 14) - 1
 #: Words of 64 bits in the filter of wanted lines: by their number, between these powers of two (8 MB at most).
@@ -205,13 +208,23 @@ def texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return passed.groupBy("h").agg(F.min("line").alias("line"))
 
 
+def coded(line: str) -> Column:
+    """A line with one character for each word, told by a hash into 49,152 letters outside the surrogates."""
+    letters = F.transform(F.split(line, " "), lambda w: F.hex(F.lit(0x1000) + F.pmod(F.xxhash64(w), F.lit(0xC000))))
+    return F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE")
+
+
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The links whose lines have the edit similarity asked for, counted in characters."""
-    x, y = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    longer = F.greatest(F.length("x"), F.length("y"))
+    """The links whose lines have the edit similarity asked for."""
+    held = texts.select("h", "line", F.when(F.length("line") >= F.lit(int(similarity * LONG)), coded("line")).alias("coded"))
+    x, y = (held.select(F.col("h").alias(h), F.struct("line", "coded").alias(c)) for h, c in (("a", "x"), ("b", "y")))
+    size = lambda c: F.length(f"{c}.line")
+    pairs = links.join(x, "a").join(y, "b").where(F.least(size("x"), size("y")) >= similarity * F.greatest(size("x"), size("y")) - 1e-9)
+    told = lambda c: F.when(F.greatest(size("x"), size("y")) > LONG, F.col(f"{c}.coded")).otherwise(F.col(f"{c}.line"))
+    pairs = pairs.select("a", "b", told("x").alias("x"), told("y").alias("y"))
+    longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
-    pairs = links.join(x, "a").join(y, "b").withColumn("most", most).where(longer - F.least(F.length("x"), F.length("y")) <= F.col("most"))
-    return pairs.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    return pairs.withColumn("most", most).where(longer - shorter <= F.col("most")).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
 def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
