@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, urlfilter
+from . import mixing, quality, urlfilter
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -85,9 +85,4 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN MIN(page_id) OVER (PARTITION BY digest)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
 
-def op10() -> str:
-    known = ", ".join(f"'{r}'" for r in chat.ROLES)
-    return f"""SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, role, text, '<|im_start|>' || role || CHR(10) || text || '<|im_end|>' || CHR(10) AS rendered FROM conversations WHERE role IN ({known})"""
-
-
-ORACLES = {"op1_quality": op1(), "op3_urlfilter": op3(), "op6_mixing": op6(), "op7_warc": OP7, "op10_chat": op10()}
+ORACLES = {"op1_quality": op1(), "op3_urlfilter": op3(), "op6_mixing": op6(), "op7_warc": OP7}

@@ -50,7 +50,9 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.parse(table(spark, sf_dir, "conversations"))
+    """Transcripts without labels; each is decoded by the model of the conversations of the other half."""
+    rows = table(spark, sf_dir, "conversations")
+    return chat.parse(chat.transcripts(rows), labelled=rows, folds=2)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_urlfilter, op4_htmltree, op5_decontaminate, op6_mixing, op7_warc, op8_simhash, op9_linededup, op10_chat)}
