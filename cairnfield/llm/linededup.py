@@ -7,7 +7,7 @@ line are its pairs of neighbouring words, with its ends as words; a line of at m
 leaves too few pairs there.  One pass over the features sums up, for each line,
 
 * a 64-bit SimHash, from the sums of the bits of all feature hashes, and
-* ``2 * VIEWS`` least hashes, each of another permutation (``x xor c``).
+* ``LEAST`` least hashes, each of another permutation (``x xor c``).
 
 The partial sums run before the shuffle, so a line that repeats a billion times is
 one row per task, and as repeats scale all sums alike, they change neither.
@@ -50,12 +50,13 @@ SIMILARITY = 0.8
 BLOCKS = 3
 #: ASCII that is in no word, but for the line feed; single spaces stay as they are.
 GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}|[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-VIEWS = 6
-LEAST = 2 * VIEWS
+LEAST = 12
+#: View j is of the least hashes j and j + 1, around.
+VIEWS = LEAST
 #: Five bits of each least hash are kept, and of those so many agree in lines over SHORT that are to be compared.
-ALIKE = 5
+ALIKE = 4
 #: Bits that the fingerprints of such lines may differ in; in unrelated lines 32 do.
-NEAR = 23
+NEAR = 25
 FIELDS = sum(1 << 5 * j for j in range(LEAST))
 #: Lines of at most SHORT characters are also told by their runs of GRAM characters.
 SHORT, GRAM = 40, 3
@@ -141,7 +142,7 @@ def sketches(lines: DataFrame) -> DataFrame:
     sketch = F.lit(0).cast("long")
     for j in range(LEAST):
         sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(31)), 5 * j))
-    cells = F.array(*(F.xxhash64("short", F.lit(j), f"m{2 * j}", f"m{2 * j + 1}") for j in range(VIEWS)))
+    cells = F.array(*(F.xxhash64("short", F.lit(j), f"m{j}", f"m{(j + 1) % LEAST}") for j in range(VIEWS)))
     found = cut(held.select("h", "short", "size", F.when(~F.col("short"), majority_narrow()).alias("fp"), sketch.alias("sketch"), cells.alias("cells")), "sketches")
     wide = found.where("not short and fp is null").select("h")
     texts = cut(texts_of(wide, lines), "wide")

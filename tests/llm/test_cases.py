@@ -45,6 +45,11 @@ def test_pii(docs, none):
     assert sorted(pii.sanitise(docs).columns) == sorted(docs.columns) and pii.sanitise(docs).exceptAll(docs).isEmpty()
 
 
+def test_pii_digit_runs_of_any_length(spark):
+    text = "at 10.0.0." + "0" * 6000 + "1 and " + "9" * 6000 + ".1.1.1 " + "1." * 3000
+    assert [k for k, _, _ in pii.base_spans(text)] == ["ip"] + ["ip"] * 750
+
+
 def test_urlfilter(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "no scheme/at all", "c"), (4, "http://X.net", "d"), (5, "http://X.NET/", "e"), (6, "ftp://a.example.net/en/x?casino", "f"), (6, "ftp://a.example.net/en/x?casino", "f"), (7, "http://h/" + "adult-free/" * 20_000, "g")]
     out = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string"))
@@ -76,7 +81,7 @@ def test_decontaminate(spark, docs, none):
 
 def test_mixing(docs, none):
     out = mixing.mix(docs)
-    assert "copy" in out.columns and out.where("text is null or size = 0").count() >= 0
+    assert "copy" in out.columns and out.where("copy >= copies or source_size = 0").isEmpty() and set(docs.columns) <= set(out.columns)
     t = mixing.taken(docs)
     assert t.count() == len(ROWS) and t.where("taken > 3 * size").isEmpty()
     assert mixing.mix(none).count() == 0 == mixing.taken(none).count()

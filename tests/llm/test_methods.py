@@ -255,6 +255,12 @@ def test_small_item_blocks(spark):
 # ---- op6
 
 
+def test_each_source_is_near_its_target(spark):
+    got = mixing.taken(spark.read.parquet(str(DATA.parent / "sf0.01" / "documents.parquet"))).join(spark.read.parquet(str(DATA.parent / "sf0.01" / "documents.parquet")).select("doc_id", "source"), "doc_id")
+    for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t"), F.max("size").alias("most")).collect():
+        assert abs(r.n - r.t) <= max(0.1 * r.t, 2 * r.most)
+
+
 def test_targets_hit_their_cap(spark):
     rows = [("a", 10), ("b", 1000), ("c", 10), (None, 500)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
@@ -398,20 +404,17 @@ def test_similar_whatever_the_edit(spark, kind):
 
 
 def slow_lines(rows):
-    """First occurrences by brute force over all pairs of lines."""
-    at, feats = [], {}
+    """First occurrences by brute force over all pairs of lines, held to edit similarity alone."""
+    at = []
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            n = line.lower().strip(" \t\r\x0b\x0c")
+            n = " ".join(re.findall("[a-z0-9]+", line.lower()))
             if n:
                 at.append((d, i, n))
-    for _, _, n in at:
-        if n not in feats:
-            w = n.split(" ")
-            feats[n] = [spark_hash(a, b) for a, b in zip(["", *w], [*w, ""])]
-    fp = {n: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in f) > len(f)) for n, f in feats.items()}
-    edges = [(a, b) for a, b in combinations(sorted(fp), 2) if (fp[a] ^ fp[b]).bit_count() <= 3 and edits(a.split(" "), b.split(" ")) <= 0.2 * max(a.count(" ") + 1, b.count(" ") + 1) + 1e-9]
-    group = roots(fp, edges)
+    lines = sorted({n for _, _, n in at})
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    edges = [(a, b) for a, b in combinations(lines, 2) if near(a, b)]
+    group = roots(lines, edges)
     seen, gone = set(), Counter()
     for d, i, n in sorted(at):
         if group[n] in seen:
@@ -420,10 +423,6 @@ def slow_lines(rows):
     return gone, len(edges)
 
 
-def spark_hash(a, b):
-    return xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -437,7 +436,7 @@ def edits(a, b):
 def test_lines_against_brute_force(spark):
     r = random.Random(3)
     stock = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 6))) for _ in range(300)]
-    base = [[r.choice(stock) for _ in range(r.randint(1, 90))] for _ in range(25)]
+    base = [[r.choice(stock) for _ in range(r.randint(1, 40))] for _ in range(25)]
     rows = []
     for d in range(50):
         lines = []
@@ -449,8 +448,8 @@ def test_lines_against_brute_force(spark):
         rows.append((d, "\n".join(lines)))
     gone, links = slow_lines(rows)
     out = linededup.dedup(spark.createDataFrame(rows, DOC)).collect()
-    assert {x.doc_id: x.n_removed for x in out if x.n_removed} == {d: n for d, n in gone.items() if n}
-    assert links > 5
+    got = {x.doc_id: x.n_removed for x in out if x.n_removed}
+    assert all(n <= gone[d] for d, n in got.items()) and sum(got.values()) >= 0.97 * gone.total() and links > 5
     assert all(len((x.text or "").split("\n")) == x.n_lines - x.n_removed for x in out if x.n_removed < x.n_lines)
 
 
@@ -492,6 +491,20 @@ def test_similar_lines_of_all_lengths_are_found(spark):
     assert gone <= want and len(want) > 150 and len(gone) >= 0.98 * len(want)
 
 
+def test_real_lines_against_brute_force(spark):
+    """Lines of up to 120 characters of the table itself, paired by edit distance alone."""
+    lines = linededup.lines_of(spark.read.parquet(str(DATA / "documents.parquet")), "doc_id", "text").where("length(line) <= 120")
+    held = linededup.cut(lines, "lines")
+    t = linededup.cut(held.groupBy("h").agg(F.min("line").alias("line")), "texts")
+    a, b = t.select(F.col("h").alias("a"), F.col("line").alias("x")), t.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    longer = F.greatest(F.length("x"), F.length("y"))
+    want = a.join(b, (F.col("a") < F.col("b")) & (F.least(F.length("x"), F.length("y")) >= 0.8 * longer)).where(F.expr("levenshtein(x, y, cast(floor(0.2 * greatest(length(x), length(y)) + 1e-9) as int)) >= 0"))
+    want = [(x.a, x.b) for x in want.select("a", "b").collect()]
+    root = {x.node: x.root for x in linededup.groups_of(held).collect()}
+    found = sum(root.get(a, a) == root.get(b, b) for a, b in want)
+    assert len(want) >= 4 and found >= 0.9 * len(want)
+
+
 # ---- op10
 
 
@@ -504,6 +517,38 @@ def test_roles_are_recovered_without_labels(spark):
     assert right > 0.97 and lost.where("o.role = h.role").count() / lost.count() > 0.8
 
 
+def test_transcripts_by_a_model_of_other_conversations(spark):
+    rows = spark.read.parquet(str(DATA / "conversations.parquet"))
+    hidden = chat.transcripts(rows)
+    assert hidden.where("role is not null").isEmpty() and 0 < hidden.alias("h").join(rows.alias("r"), ["conv_id", "turn"]).where("h.text = r.text").count() < 0.5 * rows.count()
+    out = chat.parse(hidden, labelled=rows, folds=2).where("part = 0").alias("o").join(rows.alias("r"), ["conv_id", "turn"])
+    right, n = out.where("o.role = r.role and o.text = r.text").count(), out.count()
+    assert n == rows.count() and right > 0.95 * n
+
+
+def test_decode_against_all_paths(spark):
+    import pandas as pd
+    from itertools import product
+
+    rows = spark.read.parquet(str(DATA / "conversations.parquet"))
+    model = chat.Model(chat.train(rows)[0])
+    for texts in (["what is it?", "a thing\nof sorts"], ["User: so?\nyes", "it is"], ["be kind", "Human: hello", "welcome"]):
+        pdf = pd.DataFrame({"role": [None] * len(texts), "text": texts})
+        emitted = [e for _, _, e in chat.lines_of(model, pdf)]
+
+        def worth(path):
+            total, last = 0.0, None
+            for s, e in zip(path, emitted):
+                r, goes = s // 2, s % 2
+                if goes and (last is None or last // 2 != r):
+                    return -1e40
+                total += (model.more if goes else model.first[r] if last is None else model.move[last // 2][r]) + e[goes][r]
+                last = s
+            return total
+
+        assert tuple(s for _, _, s in chat.decode(model, pdf)) == max(product(range(6), repeat=len(emitted)), key=worth)
+
+
 def test_inline_transcript(spark):
     text = "System: be kind\nUser: what is it?\nIt seems odd.\nAssistant: it is a test.\n### Human: thanks\n**AI:** welcome"
     rows = spark.createDataFrame([(1, 0, None, text)], "conv_id long, turn long, role string, text string")
@@ -516,7 +561,7 @@ def test_blocks_give_the_path_of_the_whole(spark):
     r = random.Random(6)
     rows = [(r.choice(["user", "assistant", None, None]), r.choice(["is it so?", "a longer answer to it all", "ok\nand more"])) for _ in range(60)]
     df = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(rows)], "conv_id long, turn long, role string, text string")
-    model = chat.Model(chat.train(df))
+    model = chat.Model(chat.train(df)[0])
     import pandas as pd
 
     pdf = pd.DataFrame(rows, columns=["role", "text"])
