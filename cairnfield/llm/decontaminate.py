@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import cut
+
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Windows at the threshold are 8 of 64 bits away on average, with a deviation of under 3.
 RADIUS = 15
-#: Characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark text in one broadcast block: some 700,000 shingles in the index of each Python worker.
+BLOCK_CHARS = 4_000_000
 TOKEN = re.compile(r"[^\W_]+")
 #: Windows fingerprinted at once: bounds memory.
 CHUNK = 4096
@@ -150,14 +152,14 @@ class Index:
             yield self.items[i][0], s, start, min(len(self.items[i][1]), len(words))
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark in lists of about ``most`` characters, by the size that is measured first."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[int | None, str | None]], bool]]:
+    """The benchmark in lists of about ``most`` characters, by the size that is measured first, and whether each is the last."""
     b = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
     chars = b.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 + chars // most
     for k in range(n):
         part = b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else b
-        yield [(r.i, r.t) for r in part.collect()]
+        yield [(r.i, r.t) for r in part.collect()], k == n - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -166,9 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark = docs.sparkSession
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, similarity double, start_word long, n_words long"
 
-    def scan(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
+    def scan(held) -> DataFrame:
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, threshold)
             for batch in batches:
@@ -181,7 +181,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         kinds = arrow_schema(schema)
         return narrow.mapInArrow(hits, schema)
 
-    found = [scan(block) for block in item_blocks(benchmark, item_id, item_text)]
+    found = []
+    for block, last in item_blocks(benchmark, item_id, item_text):
+        held = spark.sparkContext.broadcast(block)
+        found.append(scan(held) if last else cut(scan(held), "hits"))
+        if not last:
+            # written before the next block is read, so that one block at a time is held
+            held.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
@@ -191,10 +197,13 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which no item is found; texts stay where they are, a flag is made beside them."""
-    blocks = list(item_blocks(benchmark, item_id, item_text))
-    for block in blocks:
+    for block, last in item_blocks(benchmark, item_id, item_text):
         held = docs.sparkSession.sparkContext.broadcast(block)
         docs = docs.where(~_flag(held, threshold)(F.col(text)))
+        if not last:
+            # written before the next block is read, so that one block at a time is held
+            docs = cut(docs, "clean")
+            held.destroy()
     return docs
 
 

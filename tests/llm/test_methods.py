@@ -249,7 +249,17 @@ def test_texts_shorter_than_the_item(spark):
 def test_small_item_blocks(spark):
     b = spark.createDataFrame([(i, f"text of item number {i} with words") for i in range(20)], "item_id long, text string")
     parts = list(decontaminate.item_blocks(b, "item_id", "text", 200))
-    assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == list(range(20))
+    assert len(parts) > 2 and sorted(i for p, _ in parts for i, _ in p) == list(range(20)) and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+
+
+def test_several_blocks_find_the_same(spark, monkeypatch):
+    b = spark.createDataFrame([(i, f"text of item number {i} with some words") for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before text of item number {i} with some words after") for i in range(0, 30, 3)] + [(99, "clean")], DOC)
+    hits = lambda: sorted((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, b).collect())
+    kept = lambda: sorted(x.doc_id for x in decontaminate.decontaminate(docs, b).collect())
+    want = hits(), kept()
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (200,))
+    assert (hits(), kept()) == want and len(want[0]) >= 7 and 99 in want[1]
 
 
 # ---- op6
