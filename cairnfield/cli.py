@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from .config import read_config
 from .operators.report import format_report
 from .plans.qc import run_qc
-from .sources import filenames, layers, pixels
+from .sources import filenames, layers, pixels, sinks
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -39,6 +39,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     px = pixels.read_pixels(spark, args.pixels) if args.pixels else layers.aligned(spark, cfg)
     qc = run_qc(px, replace(cfg))
     qc.save(out, args.overwrite)
+    if not args.pixels:
+        name = filenames.output_name("", cfg.file_path_in_date1, cfg.file_path_in_date2, "", cfg.file_name_modifier, cfg.basin).rsplit("/", 1)[-1].rstrip("_")
+        sinks.save_flag_rasters(qc.pixels, qc.cfg, f"{out}/rasters", name, layers.frame_of(spark, cfg))
     text = format_report(qc.report())
     print(text)
     return text

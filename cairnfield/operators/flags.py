@@ -90,7 +90,8 @@ def with_bands(px: DataFrame, cfg: QCConfig, known: Summary) -> tuple[DataFrame,
         table = F.broadcast(px.sparkSession.createDataFrame(rows, stats.schema))
     else:
         table = stats.persist(StorageLevel.MEMORY_AND_DISK)
-        line = bands.snowline(table, F.lit(edge), cfg.snowline_threshold, res).first().snowline
+        totals = table.agg(*(F.sum(F.col(c) * F.col("elevation_count")).alias(c) for c in ("mean_d1", "mean_d2")), F.lit(1).alias("elevation_count")).collect()
+        line = bands.snowline(table, F.lit(edge), cfg.snowline_threshold, res, deeper(totals, cfg)).first().snowline
     return banded.join(table.select("band", *THRESHOLDS), "band", "left"), line
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import NODATA, QCConfig
 from ..functions import to_cm
 from ..operators import align
-from . import raster
+from . import raster, sinks
 
 
 def headers(spark: SparkSession, cfg: QCConfig) -> DataFrame:
@@ -48,3 +48,12 @@ def aligned(spark: SparkSession, cfg: QCConfig) -> DataFrame:
             step = float(round(head.where("layer = 'dem'").first().rez))
             topo.append(align.resample_nearest(depth[0].select("row", "col"), keyed(points, step), F.lit(rez / step)).select("row", "col", "value"))
     return align.coregister(depth[0], depth[1], topo[0], topo[1])
+
+
+def frame_of(spark: SparkSession, cfg: QCConfig) -> sinks.Frame:
+    """The second depth layer's grid, and the place of the common extent in it: outputs have its original extent."""
+    head = headers(spark, cfg)
+    box = align.common_extent(align.shifted(head)).first()
+    own = align.original_shape(align.snapped(head.where("layer = 'date2'"))).first()
+    rez = float(round(box.rez))
+    return sinks.Frame(own.left, own.top, rez, own.height, own.width, round((own.top - box.top) / rez), round((box.left - own.left) / rez))

@@ -203,6 +203,21 @@ def test_basin_flags_match_numpy(spark, strict):
     assert (column(qc.pixels, "flag_basin_gain", a.shape) == gain).all()
 
 
+def test_the_deeper_date_sets_the_snowline_however_many_bands(spark, monkeypatch):
+    from cairnfield.operators import flags as flag_ops
+
+    rng = np.random.default_rng(2)
+    dem = np.repeat(np.arange(10)[:, None] * 50 + 2000, 12, 1).astype(float)
+    a, b = rng.integers(50, 90, (10, 12)) * (dem >= 2200), rng.integers(20, 49, (10, 12)) * (dem >= 2350)
+    cfg = QCConfig(flags=("basin_block",), snowline_source="deeper", snowline_threshold=5)
+    lines = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(flag_ops, "COLLECTED_BANDS", most)
+        basics = fn.with_basics(px_of(spark, a, b, dem))
+        lines.append(flag_ops.with_bands(basics, cfg, flag_ops.summarise(basics, cfg))[1])
+    assert lines[0] == lines[1]
+
+
 def test_flags_are_within_their_candidates_and_strategies_agree(spark):
     rng = np.random.default_rng(9)
     a, b = rng.choice([ND, 0, 60, 300], (12, 12)), rng.choice([ND, 0, 60, 300], (12, 12))

@@ -93,6 +93,17 @@ def test_command_line(spark, survey, tmp_path, capsys):
     assert "flag_basin_loss" in text and text in capsys.readouterr().out
     folder = tmp_path / "out/BASIN/20170402_20170605"
     assert (folder / "flags").is_dir() and (folder / "arrays").is_dir() and (folder / "bands").is_dir()
+    tiles = sorted(x.name for x in (folder / "rasters").iterdir())
+    assert tiles == ["BASIN20170402_20170605_diff_arrays_000000.tif", "BASIN20170402_20170605_diff_flags_000000.tif"]
+    # padded to the second file's grid; flags equal the table's, and no data lies around them
+    grid = raster.decode_tiff((folder / "rasters" / tiles[1]).read_bytes())
+    wide = spark.read.parquet(str(folder / "flags")).collect()
+    values = np.asarray(grid.values).reshape(12, 12, -1)
+    names = [c for c in wide[0].asDict() if c.startswith("flag_")]
+    at = [(r.row, r.col) for r in wide]
+    assert (grid.left, grid.top, grid.rez) == (1050.0, 4950.0, 50.0) and values.shape[2] in (1, len(names))
+    assert all(values[r.row, r.col, 0] == int(r[names[0]]) for r in wide)
+    assert all(values[i, j, 0] == 255 for i in range(12) for j in range(12) if (i, j) not in at)
     assert "outlier_percentiles = 5 95 5 95" in "".join(r.value + "\n" for r in spark.read.text(str(folder / "config_ini")).collect())
 
 
