@@ -176,9 +176,9 @@ def may_be_alike(l: str, r: str, similarity: float) -> Column:
     return fits & ((longer <= SHORT) | (bits <= RADIUS) | ((differ <= LEAST - ALIKE) & (bits <= NEAR)))
 
 
-def star_links(met: DataFrame, end: str, similarity: float) -> DataFrame:
-    """Pairs ``a < b``: all lines of a cell with its least or its greatest one."""
-    ends = met.groupBy("cell").agg((F.min if end == "least" else F.max)("h").alias("h"))
+def star_links(met: DataFrame, end: Column, similarity: float) -> DataFrame:
+    """Pairs ``a < b``: all lines of a cell with one of them, the aggregate ``end``."""
+    ends = met.groupBy("cell").agg(end.alias("h"))
     l, r = met.join(ends, ["cell", "h"]).alias("l"), met.alias("r")
     pairs = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") != F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
     return pairs.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b")).distinct()
@@ -235,15 +235,16 @@ def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = cut(texts_of(met.select("h").distinct(), lines), "texts")
     drop(held)
     found, tried, groups = [], [], None
-    for k, links_of in enumerate((lambda m: star_links(m, "least", similarity), lambda m: star_links(m, "most", similarity), lambda m: other_links(m, similarity))):
-        links = links_of(met)
+    # first the least line of all cells, then another one in each cell
+    for k, end in enumerate((F.min("h"), F.min_by("h", F.xxhash64("h", "cell")), None)):
+        links = other_links(met, similarity) if end is None else star_links(met, end, similarity)
         for t in tried:
             links = links.join(t, ["a", "b"], "left_anti")
         links = cut(links, "links")
         found.append(cut(verified(links, texts, similarity), "holds"))
         tried.append(links)
-        if k and found[-1].isEmpty():
-            continue
+        if k == 2 and found[-1].isEmpty():
+            break
         groups, old = components(reduce(DataFrame.unionByName, found)), groups
         drop(old)
         if k == 2:
