@@ -1,6 +1,7 @@
 """Personal data, and the terms that give it away.
 
-Four patterns find emails, IP addresses, card and phone numbers.  Beyond them,
+Four patterns find emails, IP addresses, card and phone numbers; keys and other
+secrets are told by length and entropy, and are a fifth protected class.  Beyond them,
 the corpus itself tells which terms disclose that such an entity is near.  With
 ``p(c)`` the share of texts that hold an entity of class c and ``p(c|t)`` the
 share, of the texts that hold term t, of those with one of c within ``NEAR``
@@ -16,7 +17,7 @@ Counts are over all texts.  Terms near entities are counted first; document
 frequencies are then needed for those alone, and a filter of fixed size (512 KB)
 keeps other words from being shuffled; exact joins follow it.
 
-Cases: a null or empty text holds nothing; repeated rows are judged alike (equal
+Cases: a null or empty text holds nothing; texts of any length are read whole; repeated rows are judged alike (equal
 rows and copies count once in the statistics); null ids are kept; other columns are ignored;
 an empty table gives an empty result.
 """
@@ -24,7 +25,9 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
+#: All protected classes; spans are in this order.
+CLASSES = (*KINDS, "secret")
 NEAR = 6
 #: Characters on either side in which the nearest words are looked for.
 REACH = 400
@@ -51,6 +56,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: Where a secret may be: runs of at least 24 characters, looked for at their start only.
+RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,}+")
+#: Characters per change between letter and digit that a secret has at most, which paths and
+#: dated names exceed, and bits of entropy per character that it has at least.
+MIXED, ENTROPY = 8, 3.0
 
 Span = tuple[str, int, int]
 
@@ -95,6 +105,27 @@ def base_spans(text: str | None) -> list[Span]:
             out.append(("phone", m.start(), m.end()))
     return out
 
+#: Without the characters that join words.
+PLAIN = str.maketrans("", "", "_+/=-")
+
+
+def entropy(run: str) -> float:
+    """Bits per character, by the run's own character counts."""
+    return sum(-n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
+
+
+def secrets(text: str | None, base: list[Span]) -> list[Span]:
+    """Long runs of mixed letters and digits with high entropy that overlap no base span; linear in the text."""
+    if not text or not DIGIT.search(text):
+        return []
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0].translate(PLAIN)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:]))
+        if turns * MIXED >= len(m[0]) and entropy(m[0]) >= ENTROPY and not any(a < m.end() and m.start() < b for _, a, b in base):
+            out.append(("secret", m.start(), m.end()))
+    return out
+
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
@@ -143,7 +174,7 @@ def filter_of(members: DataFrame, h: Column | None = None) -> Filter:
     return Filter(words)
 
 
-BASE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<kind:string,term:string>>"
+BASE = "n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, base string, held string, near array<struct<kind:string,term:string>>"
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -153,12 +184,12 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     def base(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            spans = base_spans(t)
-            s = joined(spans)
+            own = base_spans(t)
+            spans, s = own + secrets(t, own), joined(own)
             kinds = [k for k, _, _ in spans]
             near = [{"kind": k, "term": w} for k, w in sorted(terms_near(t, spans))] if spans else []
-            out.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(s.encode()).hexdigest(), s, near))
-        return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            out.append((*(kinds.count(k) for k in CLASSES), hashlib.sha256(s.encode()).hexdigest(), s, joined(spans), near))
+        return pd.DataFrame(out, columns=[*(f"n_{k}" for k in CLASSES), "base_sha256", "base", "held", "near"])
 
     return docs.withColumn("__cf_b", base(F.col(text))).select("*", "__cf_b.*").drop("__cf_b")
 
@@ -168,12 +199,12 @@ def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFra
 
     ``same`` of both tables is a hash of the text.
     """
-    holds = based.select("same", *((F.col(f"n_{k}") > 0).alias(k) for k in KINDS)).distinct()
-    n = holds.agg(F.count("*").alias("n"), *(F.count_if(k).alias(k) for k in KINDS)).first()
+    holds = based.select("same", *((F.col(f"n_{k}") > 0).alias(k) for k in CLASSES)).distinct()
+    n = holds.agg(F.count("*").alias("n"), *(F.count_if(k).alias(k) for k in CLASSES)).first()
     near = based.select("same", F.inline("near")).distinct().groupBy("kind", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
     near = cut(near, "near")
     copied = docs.sparkSession.sparkContext.broadcast(filter_of(based.groupBy("same").count().where("count > 1"), F.col("same")))
-    prior = F.create_map(*(F.lit(x) for k in KINDS for x in (k, max(n[k], 1) / max(n.n, 1))))[F.col("kind")]
+    prior = F.create_map(*(F.lit(x) for k in CLASSES for x in (k, max(n[k], 1) / max(n.n, 1))))[F.col("kind")]
 
     def terms_of(wanted: DataFrame, single: bool) -> DataFrame:
         """``(same, term)`` for each row, and of those of texts with copies none if ``single``."""
@@ -204,7 +235,7 @@ def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFra
 
 
 def hits_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, doc, extra)``: the spans of disclosing terms outside base spans, of the documents that have some."""
+    """``(doc_id, doc, extra)``: the spans of disclosing terms outside those of entities, of the documents that have some."""
     held = docs.sparkSession.sparkContext.broadcast(filter_of(found.select("term")))
 
     @F.pandas_udf("array<struct<term:string,start:long,end:long>>")
@@ -219,6 +250,7 @@ def hits_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
             got = [{"term": w, "start": m.start(), "end": m.end()} for w, m in words if w in passed]
             if got:
                 spans = base_spans(t)
+                spans += secrets(t, spans)
                 got = [g for g in got if not any(a < g["end"] and g["start"] < b for _, a, b in spans)]
             out.append(got)
         return pd.Series(out)
@@ -226,18 +258,21 @@ def hits_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     at = docs.select("doc_id", "doc", F.inline(places(F.col(text)))).join(found.select("term", "kind"), "term").select("doc_id", "doc", "kind", "start", "end").distinct()
     spans = F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "term", 0).otherwise(1).alias("o"), "start", "end", "kind")))
     spell = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    return at.groupBy("doc_id", "doc").agg(F.array_join(spell, ",").alias("extra"))
+    return at.groupBy("doc_id", "doc").agg(F.count("*").alias("n_added"), F.array_join(spell, ",").alias("extra"))
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts, ``base_sha256``, ``spans`` and ``doc``, a hash of id and text to join by."""
+    """One row per document: counts, ``base_sha256``, ``spans`` and ``doc``, a hash of id and text to join by.
+
+    ``n_terms`` counts the spans of disclosing terms.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("doc"), F.xxhash64(text).alias("same"))
     based = cut(with_base(d).drop("text"), "base")
     found = disclosing(d, based)
     extra = hits_of(d, found).withColumnRenamed("doc_id", "other_id").withColumnRenamed("doc", "other")
     out = based.join(extra, (F.col("doc") == F.col("other")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "extra")
-    return out.select("doc_id", "doc", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    spans = F.concat_ws(",", F.when(F.col("held") != "", F.col("held")), "extra")
+    return out.select("doc_id", "doc", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), "n_secret", F.coalesce("n_added", F.lit(0)).cast("long").alias("n_terms"))
 
 
 def redact(text: str | None, spans: str | None) -> str | None:

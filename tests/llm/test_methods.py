@@ -1,5 +1,6 @@
 """Results against brute force, planted cases and held-out accuracy."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -143,6 +144,24 @@ def test_disclosure_counts_different_texts(spark):
     assert told == want
 
 
+def test_pii_secrets_and_the_word_before_them(spark):
+    """Random keys are secrets, names and paths are not; the word that stands only beside keys is removed, a common one stays."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    plain = ["over/the/2024/05/12/long-way-to-the-sea", "a" * 40, "1" * 40, "release-notes-2024-05-12-final", "x" * 200_000]
+    for t in plain:
+        assert pii.secrets(t, []) == []
+    assert [pii.secrets(f"a {key(i)}.", []) for i in range(300)] == [[("secret", 2, 42)]] * 300
+    rows = [(i, f"some words here then apikey = {key(i)} and some more words") for i in range(40)]
+    rows += [(i, f"some words here number {i} and then some more words") for i in range(40, 400)]
+    docs = spark.createDataFrame(rows, DOC)
+    out = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for i, t in rows:
+        at = t.find("apikey")
+        assert out[i].spans == (f"secret:{at + 9}:{at + 49},reveal:{at}:{at + 6}" if i < 40 else "")
+        assert (out[i].n_secret, out[i].n_terms) == ((1, 1) if i < 40 else (0, 0))
+    assert pii.sanitise(docs).where("text rlike 'apikey|[0-9a-f]{40}'").isEmpty()
+
+
 def test_redact():
     assert pii.redact("abc def ghi", "email:4:7") == "abc [EMAIL] ghi"
     assert pii.redact("abcdef", "ip:1:4,card:2:5,reveal:5:6") == "a[IP]" and pii.redact(None, "ip:0:1") is None
