@@ -53,6 +53,8 @@ GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}|[\x00-\x09\x0B-\x1F
 LEAST = 12
 #: View j is of the least hashes j and j + 1, around.
 VIEWS = LEAST
+#: Cells of a line at most, and those whose digests share a long.
+PLACES, PACKED = VIEWS + BLOCKS, 4
 #: Five bits of each least hash are kept, and of those so many agree in lines over SHORT that are to be compared.
 ALIKE = 4
 #: Bits that the fingerprints of such lines may differ in; in unrelated lines 32 do.
@@ -152,18 +154,31 @@ def sketches(lines: DataFrame) -> DataFrame:
     return out
 
 
-def meetings(held: DataFrame) -> DataFrame:
-    """``(cell, h, size, sketch, fp)``: the lines of each cell that more than one line is in."""
+def every_cell() -> Column:
+    """The cells that a row of ``sketches`` is in."""
     width = 64 // BLOCKS
     block = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)]
     ways = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
     keys = F.array(*(sum((F.shiftleft(block[k], i * width) for i, k in enumerate(way)), F.lit(n << 2 * width)) for n, way in enumerate(ways)))
-    every = F.when(F.col("short"), F.col("cells")).otherwise(F.concat("cells", keys))
-    rows = held.select("h", "size", "sketch", "fp", F.explode(every).alias("cell"))
-    crowded = held.select("h", F.explode(every).alias("cell")).groupBy("cell").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("cell")
+    return F.when(F.col("short"), F.col("cells")).otherwise(F.concat("cells", keys))
+
+
+def meetings(held: DataFrame) -> DataFrame:
+    """``(cell, h, size, sketch, fp)``: the lines of each cell that more than one line is in."""
+    rows = held.select("h", "size", "sketch", "fp", F.explode(every_cell()).alias("cell"))
+    crowded = held.select("h", F.explode(every_cell()).alias("cell")).groupBy("cell").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("cell")
     return rows.join(crowded, "cell")
 
 
+def placed(met: DataFrame, held: DataFrame) -> DataFrame:
+    """``met`` with the ``place`` of each cell among its line's, and 16 bits of each of the line's cells in ``d0``, ``d1``, ..."""
+    bits = lambda v: F.shiftleft(F.xxhash64(F.get("every", F.lit(v))).bitwiseAND(F.lit(0xFFFF)), 16 * (v % PACKED))
+    digests = [sum((bits(v) for v in range(k + 1, k + PACKED)), bits(k)).alias(f"d{k // PACKED}") for k in range(0, PLACES, PACKED)]
+    own = held.select(F.col("h").alias("node"), F.col("fp").isNull().alias("runs"), every_cell().alias("every"))
+    of_line = met.join(own, (F.col("h") == F.col("node")) & (F.col("fp").isNull() == F.col("runs")))
+    return of_line.select(*met.columns, (F.array_position("every", F.col("cell")) - 1).alias("place"), *digests)
+
+
 def may_be_alike(l: str, r: str, similarity: float) -> Column:
     """Whether sizes, least hashes and fingerprints allow the similarity."""
     apart = F.col(f"{l}.sketch").bitwiseXOR(F.col(f"{r}.sketch"))
@@ -185,9 +200,18 @@ def star_links(met: DataFrame, end: Column, similarity: float) -> DataFrame:
 
 
 def other_links(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a < b``: all lines of a cell that are in different groups."""
+    """Pairs ``a < b``: all lines of a cell that are in different groups; ``met`` is as from ``placed``.
+
+    Two lines may share several cells.  The join's condition lets them through in the
+    first of them only, told by 16 bits of each cell, so each pair is made once.
+    """
     l, r = met.alias("l"), met.alias("r")
-    pairs = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
+    agree = lambda v: F.col(f"l.d{v // PACKED}").bitwiseXOR(F.col(f"r.d{v // PACKED}")).bitwiseAND(F.lit(0xFFFF << 16 * (v % PACKED) if v % PACKED < 3 else -(1 << 48))) == 0
+    first = F.when(agree(0), 0)
+    for v in range(1, PLACES):
+        first = first.when(agree(v), v)
+    apart = (F.col("l.cell") == F.col("r.cell")) & (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root"))
+    pairs = l.join(r, apart & may_be_alike("l", "r", similarity) & (first == F.col("l.place")))
     return pairs.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
 
 
@@ -233,11 +257,10 @@ def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = sketches(lines)
     met = cut(meetings(held).withColumn("root", F.col("h")), "met")
     texts = cut(texts_of(met.select("h").distinct(), lines), "texts")
-    drop(held)
     found, tried, groups = [], [], None
     # first the least line of all cells, then another one in each cell
     for k, end in enumerate((F.min("h"), F.min_by("h", F.xxhash64("h", "cell")), None)):
-        links = other_links(met, similarity) if end is None else star_links(met, end, similarity)
+        links = other_links(placed(met, held), similarity) if end is None else star_links(met, end, similarity)
         for t in tried:
             links = links.join(t, ["a", "b"], "left_anti")
         links = cut(links, "links")
@@ -255,7 +278,7 @@ def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         left = cut(now.join(mixed, "cell"), "met")
         drop(met)
         met = left
-    drop(met, texts, *found, *tried)
+    drop(held, met, texts, *found, *tried)
     return groups
 
 
