@@ -48,6 +48,8 @@ MIN_TEXTS = 5
 GENERALISE, REMOVE = 0.75, 0.9
 Z = 2.576
 FILTER_WORDS = 1 << 16
+#: Words whose membership a task remembers at once.
+MOST_KNOWN = 1 << 18
 TERM = re.compile(r"[^\W\d_]{2,}")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -156,6 +158,13 @@ class Filter:
         h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
         return bool(int(self.words[h % FILTER_WORDS]) >> (h >> 32 & 63) & 1)
 
+    def among(self, terms: set[str], known: dict[str, bool]) -> list[str]:
+        """The members among ``terms``; ``known`` holds what was asked before, as words come again and again."""
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        new = terms.difference(known)
+        known.update((w, w in self) for w in new)
+        return [w for w in terms if known[w]]
 
     def hold(self, hashes: np.ndarray) -> np.ndarray:
         """Which of signed hashes are members."""
@@ -212,9 +221,9 @@ def disclosing(docs: DataFrame, based: DataFrame, text: str = "text") -> DataFra
 
         @F.pandas_udf("array<string>")
         def terms(texts: pd.Series, same: pd.Series) -> pd.Series:
-            passed = held.value
+            passed, known = held.value, {}
             skip = copied.value.hold(same.to_numpy(np.int64)) if single else np.zeros(len(texts), bool)
-            return pd.Series([[w for w in set(TERM.findall(t.lower())) if w in passed] if t and not s else [] for t, s in zip(texts, skip)])
+            return pd.Series([passed.among(set(TERM.findall(t.lower())), known) if t and not s else [] for t, s in zip(texts, skip)])
 
         return docs.select("same", F.explode(terms(F.col(text), F.col("same"))).alias("term"))
 
@@ -240,11 +249,14 @@ def hits_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("array<struct<term:string,start:long,end:long>>")
     def places(texts: pd.Series) -> pd.Series:
-        passed, out = held.value, []
+        passed, known, out = held.value, {}, []
         if not passed.words.any():
             return pd.Series([[] for _ in texts])
         for t in texts:
             low = t.lower() if t else ""
+            if not passed.among(set(TERM.findall(low)), known):
+                out.append([])
+                continue
             # lower-casing can change a text's length; positions then come from the text itself
             words = ((m[0], m) for m in TERM.finditer(low)) if len(low) == len(t or "") else ((m[0].lower(), m) for m in TERM.finditer(t))
             got = [{"term": w, "start": m.start(), "end": m.end()} for w, m in words if w in passed]
