@@ -55,6 +55,8 @@ LEAST = 12
 VIEWS = LEAST
 #: Cells of a line at most, and those whose digests share a long.
 PLACES, PACKED = VIEWS + BLOCKS, 4
+#: Places that are worked on at once; what one batch shuffles is removed before the next.
+BATCH = 3
 #: Five bits of each least hash are kept, and of those so many agree in lines over SHORT that are to be compared.
 ALIKE = 4
 #: Bits that the fingerprints of such lines may differ in; in unrelated lines 32 do.
@@ -163,11 +165,12 @@ def every_cell() -> Column:
     return F.when(F.col("short"), F.col("cells")).otherwise(F.concat("cells", keys))
 
 
-def meetings(held: DataFrame) -> DataFrame:
-    """``(cell, h, size, sketch, fp)``: the lines of each cell that more than one line is in."""
-    rows = held.select("h", "size", "sketch", "fp", F.explode(every_cell()).alias("cell"))
-    crowded = held.select("h", F.explode(every_cell()).alias("cell")).groupBy("cell").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("cell")
-    return rows.join(crowded, "cell")
+def meetings(held: DataFrame, at: int) -> DataFrame:
+    """``(cell, h, size, sketch, fp)``: the lines of each cell that more than one line is in, for ``BATCH`` places from ``at`` on."""
+    cells = F.explode(F.slice(every_cell(), at + 1, BATCH)).alias("cell")
+    # a line is in a cell once, so a count tells
+    crowded = held.select(cells).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    return held.select("h", "size", "sketch", "fp", cells).join(crowded, "cell")
 
 
 def placed(met: DataFrame, held: DataFrame) -> DataFrame:
@@ -253,17 +256,25 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, root)``: the connected groups of lines with the edit similarity; ``lines`` are as from ``lines_of``."""
+    """``(node, root)``: the connected groups of lines with the edit similarity.
+
+    ``lines`` are as from ``lines_of``; a table of ``cut`` is deleted once it is read.
+    """
     held = sketches(lines)
-    met = cut(meetings(held).withColumn("root", F.col("h")), "met")
-    texts = cut(texts_of(met.select("h").distinct(), lines), "texts")
+    # a cell is in one batch only, so each batch's pairs can be made by themselves
+    met = [cut(meetings(held, at).withColumn("root", F.col("h")), "met") for at in range(0, PLACES, BATCH)]
+    wanted = cut(reduce(DataFrame.unionByName, (m.select("h") for m in met)).distinct(), "wanted")
+    texts = cut(texts_of(wanted, lines), "texts")
+    drop(wanted, lines)
     found, tried, groups = [], [], None
     # first the least line of all cells, then another one in each cell
     for k, end in enumerate((F.min("h"), F.min_by("h", F.xxhash64("h", "cell")), None)):
-        links = other_links(placed(met, held), similarity) if end is None else star_links(met, end, similarity)
+        made = [cut(other_links(placed(m, held), similarity) if end is None else star_links(m, end, similarity), "made") for m in met]
+        links = reduce(DataFrame.unionByName, made).distinct()
         for t in tried:
             links = links.join(t, ["a", "b"], "left_anti")
         links = cut(links, "links")
+        drop(*made)
         found.append(cut(verified(links, texts, similarity), "holds"))
         tried.append(links)
         if k == 2 and found[-1].isEmpty():
@@ -272,22 +283,25 @@ def groups_of(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         drop(old)
         if k == 2:
             break
-        # cells that still hold different groups
-        now = met.drop("root").join(groups.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-        mixed = now.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("cell")
-        left = cut(now.join(mixed, "cell"), "met")
-        drop(met)
-        met = left
-    drop(held, met, texts, *found, *tried)
+        met = [cells_apart(m, groups) for m in met]
+    drop(held, texts, *met, *found, *tried)
     return groups
 
 
+def cells_apart(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lines of those cells of ``met`` that still hold different groups; ``met`` is deleted."""
+    now = met.drop("root").join(groups.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = now.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("cell")
+    left = cut(now.join(mixed, "cell"), "met")
+    drop(met)
+    return left
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, doc, gone)``: for each document with repeats the positions of the lines to cut."""
     lines = cut(lines_of(docs, doc_id, text), "lines")
-    groups = groups_of(lines, similarity)
     at = cut(lines.select("doc_id", "doc", "line_no", "h"), "at")
-    drop(lines)
+    groups = groups_of(lines, similarity)
     # the first occurrence and number of each line, then of each group: hot lines are one row per task before the shuffle
     each = at.groupBy("h").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first"), F.count("*").alias("n"))
     each = each.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n")
