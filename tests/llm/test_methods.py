@@ -520,6 +520,16 @@ def test_similar_lines_of_all_lengths_are_found(spark):
     assert gone <= want and len(want) > 150 and len(gone) >= 0.98 * len(want)
 
 
+def test_lines_that_share_frequent_words_do_not_meet(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    often = ["of the", "in a", "to be", "it was", "on the", "at an", "as if", "by the", "he had", "and the", "is it", "or no", "we do", "so far", "but not"]
+    rows = [(i, " ".join(f"{word()} {pair}" for pair in often)) for i in range(60)]
+    lines = linededup.cut(linededup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), "lines")
+    held = linededup.sketches(lines)
+    assert sum(linededup.meetings(held, k).count() for k in range(3)) == 0
+
+
 def test_real_lines_against_brute_force(spark):
     """Lines of up to 120 characters of the table itself, paired by edit distance alone."""
     lines = linededup.lines_of(spark.read.parquet(str(DATA / "documents.parquet")), "doc_id", "text").where("length(line) <= 120")
