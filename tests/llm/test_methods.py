@@ -530,6 +530,38 @@ def test_lines_that_share_frequent_words_do_not_meet(spark):
     assert sum(linededup.meetings(held, k).count() for k in range(3)) == 0
 
 
+def test_short_lines_that_meet_are_told_by_edits_alone(spark):
+    r = random.Random(9)
+    parts = ["the", "an", "er", "in", "on", "tion", "re", "st", "ed", "ha"]
+    texts = {" ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(r.randint(4, 7)))[: linededup.SHORT].strip() for _ in range(300)}
+    texts |= {t[:-1] + "q" for t in list(texts)[::10]} | {"q" + t for t in list(texts)[::15]}
+    texts = {t for t in texts if len(t) <= linededup.SHORT}
+    lines = linededup.cut(linededup.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"), "lines")
+    met = lines.select(F.lit(1).alias("cell"), "h", F.col("h").alias("root")).distinct()
+    made = {(x.a, x.b) for x in linededup.other_links(met, linededup.sketches(lines), 0.8).collect()}
+    l, o = (lines.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")).distinct() for c in "ab")
+    alike = F.levenshtein("line_a", "line_b") <= F.floor(0.2 * F.greatest(F.length("line_a"), F.length("line_b")) + 1e-9)
+    assert made == {(x.a, x.b) for x in l.join(o, F.col("a") < F.col("b")).where(alike).collect()} and len(made) > 30
+
+
+def test_edits_are_counted_as_by_plain_distance(spark, monkeypatch):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9)))
+    rows = []
+    for k in range(400):
+        x = [word() for _ in range(r.choice((3, 8, 20, 60)))]
+        y = [word() if r.random() < r.choice((0.02, 0.1, 0.2, 0.3)) else w[:-1] + "z" if r.random() < 0.1 else w for w in x]
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join(y))]
+    texts = linededup.cut(spark.createDataFrame(rows, "h long, line string"), "texts")
+    links = linededup.cut(spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(400)], "a long, b long"), "links")
+    l, o = (texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+    plain = links.join(l, "a").join(o, "b").where(F.levenshtein("line_a", "line_b") <= F.floor(0.2 * F.greatest(F.length("line_a"), F.length("line_b")) + 1e-9))
+    want = {(x.a, x.b) for x in plain.collect()}
+    assert {(x.a, x.b) for x in linededup.verified(links, texts).collect()} == want and 50 < len(want) < 350
+    monkeypatch.setattr(linededup, "PAIRS", 150)
+    assert {(x.a, x.b) for x in linededup.verified_in_parts(links, texts, 0.8).collect()} == want
+
+
 def test_real_lines_against_brute_force(spark):
     """Lines of up to 120 characters of the table itself, paired by edit distance alone."""
     lines = linededup.lines_of(spark.read.parquet(str(DATA / "documents.parquet")), "doc_id", "text").where("length(line) <= 120")
