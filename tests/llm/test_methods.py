@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.llm import chat, decontaminate, htmltree, linededup, mixing, pii, quality, simhash, similar, urlfilter, warc
@@ -557,6 +559,37 @@ def test_short_lines_that_meet_are_told_by_edits_alone(spark):
     assert made == {(x.a, x.b) for x in l.join(o, F.col("a") < F.col("b")).where(alike).collect()} and len(made) > 30
 
 
+def test_lines_that_share_a_passage_make_no_pairs_but_links(spark, monkeypatch):
+    """A crowd of lines with one passage: only pairs that hold come out of the cells, and all that do."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 8)))
+    passage, texts = " ".join(word() for _ in range(30)), []
+    for _ in range(90):
+        own = [word() for _ in range(r.choice((14, 20, 24)))]
+        texts.append(" ".join(own[:9] + [passage] + own[9:]))
+        if r.random() < 0.3:
+            own[r.randrange(len(own))] = word()
+            texts.append(" ".join(own[:9] + [passage] + own[9:]))
+    lines = linededup.cut(linededup.lines_of(spark.createDataFrame(list(enumerate(texts)), DOC), "doc_id", "text"), "lines")
+    made, other_links = [], linededup.other_links
+
+    def seen(*args):
+        made.append({(x.a, x.b) for x in other_links(*args).collect()})
+        return other_links(*args)
+
+    monkeypatch.setattr(linededup, "other_links", seen)
+    root = {x.node: x.root for x in linededup.groups_of(lines).collect()}
+    held = linededup.sketches(lines)
+    met = reduce(DataFrame.unionByName, (linededup.meetings(held, k) for k in range(linededup.BATCHES))).select("cell", "h", F.col("h").alias("root"))
+    pairs = met.alias("l").join(met.alias("r"), "cell").where("l.h < r.h").select(F.col("l.h").alias("a"), F.col("r.h").alias("b"))
+    near = linededup.cut(linededup.alike(pairs, held, 0.8), "near")
+    text = lines.select("h", "line").distinct()
+    want = {(x.a, x.b) for x in linededup.verified(near, text).collect()}
+    assert near.count() > 1000 and 20 < len(want) < 300
+    assert {(x.a, x.b) for x in other_links(met, held, 0.8, text).collect()} == want
+    assert all(root[a] == root[b] for a, b in want) and made and all(m <= want for m in made)
+
+
 def test_edits_are_counted_as_by_plain_distance(spark, monkeypatch):
     r = random.Random(10)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9)))
