@@ -590,6 +590,40 @@ def test_lines_that_share_a_passage_make_no_pairs_but_links(spark, monkeypatch):
     assert all(root[a] == root[b] for a, b in want) and made and all(m <= want for m in made)
 
 
+def test_crowds_are_dealt_in_blocks(spark, monkeypatch):
+    """Each pair of a cell meets in one block that compares it, and no block holds the crowd; links are the same."""
+    monkeypatch.setattr(linededup, "CROWD", 8)
+    met = spark.createDataFrame([(1, k, k) for k in range(120)] + [(2, k, k) for k in range(5)], "cell long, h long, root long")
+    blocks = {}
+    for x in linededup.in_blocks(met).collect():
+        blocks.setdefault((x.cell, x.block), []).append(x)
+    held = Counter((c, a.h, b.h) for (c, _), rows in blocks.items() for a in rows for b in rows if a.h < b.h and (a.alone or a.own != b.own))
+    assert held == Counter((c, a, b) for c, n in ((1, 120), (2, 5)) for a, b in combinations(range(n), 2))
+    assert max(map(len, blocks.values())) < 60 and len(blocks) > 50
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 8)))
+    passage, texts = " ".join(word() for _ in range(30)), []
+    for _ in range(40):
+        own = [word() for _ in range(14)]
+        texts += [" ".join(own[:9] + [passage] + own[9:]), " ".join(own[:9] + [passage] + own[9:13] + [word()])]
+    lines = linededup.cut(linededup.lines_of(spark.createDataFrame(list(enumerate(texts)), DOC), "doc_id", "text"), "lines")
+    sketch = linededup.sketches(lines)
+    met = reduce(DataFrame.unionByName, (linededup.meetings(sketch, k) for k in range(linededup.BATCHES))).select("cell", "h", F.col("h").alias("root"))
+    found = lambda: {(x.a, x.b) for x in linededup.other_links(met, sketch, 0.8, lines.select("h", "line")).collect()}
+    dealt = found()
+    monkeypatch.setattr(linededup, "CROWD", 10**6)
+    assert dealt == found() and len(dealt) >= 30
+
+
+def test_only_texts_of_wanted_lines_are_fetched(spark):
+    lines = spark.createDataFrame([(f"line {k % 5000}",) for k in range(6000)], "line string").withColumn("h", F.xxhash64("line"))
+    lines = linededup.cut(lines, "lines")
+    wanted = linededup.cut(lines.where("line like '%7'").select("h").distinct(), "wanted")
+    got = linededup.texts_of(wanted, lines).collect()
+    assert sorted(x.line for x in got) == sorted(f"line {k}" for k in range(5000) if k % 10 == 7)
+
+
 def test_edits_are_counted_as_by_plain_distance(spark, monkeypatch):
     r = random.Random(10)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9)))
